@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: Limits of the caches in a Python worker. They bound memory, not results.
 MOST_STATES = 100_000
@@ -285,7 +286,7 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     ids_col is replaced; all others stay as they are.
     """
     kept = [c for c in df.columns if c != ids_col]
-    schema = df.select(*[f"`{c}`" for c in kept]).schema.add(ids_col, "array<int>")
+    schema = df.select(*[f"`{c}`" for c in kept]).schema.add(ids_col, ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks_path, pattern)

@@ -48,7 +48,7 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
 
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's estimate; for a scan, the size of the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def count_for(df: DataFrame, bytes_each: int, least: int, most: int) -> int:
