@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from recallgrid.functions.text import entity_id
 
 #: PageRank's fixed values.
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 30, 1e-6
+#: Edge rows (some 20 MB) up to which a graph is walked in the driver's memory.
+MOST_LOCAL = 200_000
 
 
 def room_nodes(drawers: DataFrame, hall: str | None = "hall", day: str | None = "filed_day") -> DataFrame:
@@ -52,15 +55,18 @@ def walk(nodes: DataFrame, start: str, hops: int = 2, n: int = 50) -> DataFrame:
     """room, hop, count: rooms reached from start over shared wings, nearest and largest first.
 
     A hop goes from rooms to their wings and back through the table of (room, wing); a room is taken at its first hop.
+    Each hop is cut off from the plan of the one before, which would otherwise double with it.
     """
-    places = nodes.select("room", "count", F.explode("wings").alias("wing"))
-    seen = nodes.where(F.col("room") == start).select("room", F.lit(0).alias("hop"))
+    places = _cut(nodes.select("room", "count", F.explode("wings").alias("wing")))
+    seen = _cut(nodes.where(F.col("room") == start).select("room", F.lit(0).alias("hop")))
     frontier = seen
     for hop in range(1, max(0, min(hops, 10)) + 1):
         wings = places.join(frontier.select("room"), "room", "left_semi").select("wing").distinct()
-        frontier = places.join(wings, "wing", "left_semi").select("room").distinct().join(seen.select("room"), "room", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = _cut(places.join(wings, "wing", "left_semi").select("room").distinct().join(seen.select("room"), "room", "left_anti").withColumn("hop", F.lit(hop)))
+        if not frontier.limit(1).count():
+            break
         seen = seen.union(frontier)
-    return seen.join(nodes.select("room", "count"), "room").select("room", "hop", "count").orderBy("hop", F.desc("count"), "room").limit(n)
+    return seen.join(places.select("room", "count").distinct(), "room").select("room", "hop", "count").orderBy("hop", F.desc("count"), "room").limit(n)
 
 
 def fuzzy_rooms(nodes: DataFrame, query: str, n: int = 5) -> DataFrame:
@@ -101,10 +107,14 @@ def adjacency(triples: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, seeds: Sequence[str], damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
     """node, score of a walk that returns to the seeds; seeds outside the graph are dropped, and none gives no rows.
 
-    Scores exist for reached nodes only. Every few rounds the scores are checkpointed: lineage ends, and the L1
-    change is read. Edges stay where the first join dealt them out.
+    Scores exist for reached nodes only. A graph of up to MOST_LOCAL rows of edges is walked in the driver's memory;
+    a larger one by joins: every few rounds the scores are checkpointed, lineage ends, and the L1 change is read.
     """
     spark = edges.sparkSession
+    edges = _cut(edges)
+    rows = edges.limit(MOST_LOCAL + 1).collect() if edges.limit(MOST_LOCAL + 1).count() <= MOST_LOCAL else None
+    if rows is not None:
+        return spark.createDataFrame(_walk_locally(rows, seeds, damping, iterations, tolerance), "node string, score double")
     out = edges.groupBy("a").agg(F.sum("weight").alias("total"))
     steps = edges.join(out, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("p")).persist()
     valid = [r["a"] for r in out.where(F.col("a").isin(*seeds)).select("a").collect()] if seeds else []
@@ -127,6 +137,25 @@ def pagerank(edges: DataFrame, seeds: Sequence[str], damping: float = DAMPING, i
     return scores
 
 
+def _walk_locally(rows: list, seeds: Sequence[str], damping: float, iterations: int, tolerance: float) -> list[tuple[str, float]]:
+    nodes = {n: i for i, n in enumerate(sorted({r["a"] for r in rows}))}
+    valid = sorted({nodes[s] for s in seeds if s in nodes})
+    if not valid:
+        return []
+    a, b = (np.array([nodes[r[c]] for r in rows]) for c in "ab")
+    weight = np.array([r["weight"] for r in rows], float)
+    share = weight / np.bincount(a, weight, len(nodes))[a]
+    start = np.zeros(len(nodes))
+    start[valid] = 1 / len(valid)
+    scores = start
+    for _ in range(iterations):
+        after = damping * np.bincount(b, scores[a] * share, len(nodes)) + (1 - damping) * start
+        change, scores = np.abs(after - scores).sum(), after
+        if change < tolerance:
+            break
+    return [(n, float(scores[i])) for n, i in nodes.items() if scores[i] > 0]
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """df behind a checkpoint in the shared folder; a local one where the session names none."""
     import tempfile

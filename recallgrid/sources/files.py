@@ -67,7 +67,7 @@ def forced(path: Column, wanted: Sequence[str]) -> Column:
 
 
 def scan_project(spark: SparkSession, root: str, rules: Sequence[tuple[str, Sequence[str]]] = (), include: Sequence[str] = (), extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
-    """path (below root), mtime, size, document (UTF-8, what isn't replaced) of a project's files.
+    """path (below root), mtime, size, document (UTF-8, malformed bytes replaced) of a project's files.
 
     Contents are read for the files that pass only: the filter on names and sizes stands below the decoding.
     """
@@ -79,7 +79,7 @@ def scan_project(spark: SparkSession, root: str, rules: Sequence[tuple[str, Sequ
     kind = _any([name.endswith(e) for e in extensions])
     hidden = F.arrays_overlap(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), F.array(*map(F.lit, SKIP_FOLDERS)))
     passed = kind & ~hidden & ~ignored(F.col("path"), rules)
-    return rows.where(passed | forced(F.col("path"), include)).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.decode("content", F.lit("UTF-8")).alias("document"))
+    return rows.where(passed | forced(F.col("path"), include)).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("document"))
 
 
 def scan_conversations(spark: SparkSession, root: str) -> DataFrame:

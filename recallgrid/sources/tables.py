@@ -43,7 +43,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session, kind, ts, value, props of the events table."""
-    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session"), F.col("event_type").alias("kind"), "ts", "value", "props")
+    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts"), "value", "props")
 
 
 def _triples(df: DataFrame, subject: Column, predicate: str, obj: Column, start: Column | None = None, end: Column | None = None, confidence: Column | None = None) -> DataFrame:
