@@ -261,10 +261,11 @@ def metric_distribution(spark, sf):
     return metrics.distribution(_metrics(spark, sf))
 
 
-@query("metric_rollup", "SELECT l.quality, l.toxic, count(*) AS n, round(avg(n_chars), 4) AS chars FROM documents JOIN labels l USING (doc_id) GROUP BY ROLLUP (l.quality, l.toxic)")
+@query("metric_rollup", "SELECT coalesce(l.quality::VARCHAR, 'all') AS quality, coalesce(l.toxic::VARCHAR, 'all') AS toxic, count(*) AS n, round(avg(n_chars), 4) AS chars FROM documents JOIN labels l USING (doc_id) GROUP BY ROLLUP (l.quality, l.toxic)")
 def metric_rollup(spark, sf):
     joined = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    return joined.rollup("quality", "toxic").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("chars"))
+    found = joined.rollup("quality", "toxic").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("chars"))
+    return found.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("all")) for c in ("quality", "toxic")})
 
 
 @query("rank_completion", "SELECT vec_id, CASE WHEN vec_id < 5 THEN vec_id + 1 ELSE 1099511627776 + vec_id END AS rank FROM embeddings")

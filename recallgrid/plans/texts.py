@@ -196,14 +196,14 @@ def closet_pack(spark, sf):
     return packed.withColumn("points_to", chunking.closet_drawers(F.col("document")))
 
 
-@query("aaak_summary")
-def aaak_summary(spark, sf):
+@query("dialect_summary")
+def dialect_summary(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", dialect.header(F.col("lang"), F.col("source"), F.lit(None).cast("string"), F.lit("notes/a.md")).alias("header"), dialect.summary(F.substring("text", 1, 2000)).alias("summary"))
 
 
-@query("aaak_emotions", "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN '{c}' END" for w, c in list(dialect.EMOTIONS.items())[:6]) + "], lambda x: x IS NOT NULL), '+') AS codes FROM (SELECT conv_id * 1000 + turn AS doc_id, text || [' decided', ' worried', ' love', ' x'][turn % 4 + 1] AS text FROM conversations) WHERE NOT regexp_matches(lower(text), '" + "|".join(list(dialect.EMOTIONS)[7:]) + "') AND NOT contains(lower(text), 'love')")
-def aaak_emotions(spark, sf):
+@query("dialect_emotions", "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN '{c}' END" for w, c in list(dialect.EMOTIONS.items())[:6]) + "], lambda x: x IS NOT NULL), '+') AS codes FROM (SELECT conv_id * 1000 + turn AS doc_id, text || [' decided', ' worried', ' love', ' x'][turn % 4 + 1] AS text FROM conversations) WHERE NOT regexp_matches(lower(text), '" + "|".join(list(dialect.EMOTIONS)[7:]) + "') AND NOT contains(lower(text), 'love')")
+def dialect_emotions(spark, sf):
     rows = turns(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat("text", F.element_at(F.array(*map(F.lit, (" decided", " worried", " love", " x"))), (F.col("turn") % 4 + 1).cast("int"))).alias("text"))
     rows = rows.where(~F.lower("text").rlike("|".join(list(dialect.EMOTIONS)[6:])))
     return rows.select("doc_id", F.array_join(dialect.emotions(F.col("text")), "+").alias("codes"))
