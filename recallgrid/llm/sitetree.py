@@ -139,29 +139,24 @@ class Page:
                 return
 
     def _read(self, html: str) -> None:
-        at, raw = 0, ""
-        for m in _TAG.finditer(html):
-            if raw and not ((m[1] or m[4]) and (m[2] or m[5]).lower() == raw):
-                continue
-            if m.start() > at and not raw:
+        at = 0
+        while m := _TAG.search(html, at):
+            if m.start() > at:
                 self.text.append(html[at : m.start()])
             at = m.end()
-            tag = m[2] or m[5]
-            if tag is None:
+            tag, attributes = (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
+            if not tag or tag == "head":
                 continue
-            tag = tag.lower()
-            if raw:
-                raw = ""
-            elif m[1] or m[4]:
+            if m[1] or m[4]:
                 self._end(tag)
             elif tag in RAW:
                 self._flush()
-                if not (m[3] or m[6] or "").rstrip().endswith("/") and tag != "head":
-                    raw = tag
+                if not attributes.rstrip().endswith("/"):  # what stands inside is no markup: go to the end tag itself
+                    end = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
+                    at = end.start() if end else len(html)
             else:
-                self._start(tag, m[3] or m[6] or "")
-        if at < len(html) and not raw:
-            self.text.append(html[at:])
+                self._start(tag, attributes)
+        self.text.append(html[at:])
         self._flush()
 
     def wanted(self, dull: frozenset[int] | set[int]) -> list[str]:

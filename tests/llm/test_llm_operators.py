@@ -416,6 +416,7 @@ def test_pages(spark):
         page('<div class="ad">buy</div><div id="content"><p>Text here</p></div><aside>side</aside><form><p>mail</p></form>'): "Text here",
         page('<article><p>Body<p>More</p><div class="comments"><p>reader</p></div><script>var a="</p>";</script><style>p{}</style></article><section id="comments">c</section>'): "Body More",
         "<p>no frame, <i>cut of": "no frame, cut of",
+        page("<article><script>if (a<b) { x('</div>\"<!--') }</script><p>Seen<script>never closed <p>x"): "Seen",
         "<article><p>cut <a href='x": "cut",
         page("<!-- c <p>x</p> --><main><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></main>"): "a b c d",
         "": "",
