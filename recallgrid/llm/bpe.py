@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -24,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-#: Limits of the caches in a Python worker. They bound memory, not results.
-MOST_STATES = 100_000
-MOST_PIECES = 400_000
+#: Limits of the caches in a Python worker. They bound memory, not results: some 150 MB, which end with the task.
+MOST_STATES = 50_000
+MOST_PIECES = 200_000
+#: Where nothing else runs in the worker, twice that, kept from task to task.
+ALONE = 2
 LONGEST_KEPT = 64
 
 _NEVER = 1 << 60
@@ -209,24 +212,27 @@ class Transducer:
 class Encoder:
     """Encodes texts: pre-tokens by a pattern, each by the transducer, with a bounded cache of frequent pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = MOST_PIECES, most_states: int = MOST_STATES):
         self.find = regex.compile(pattern).findall
-        self.transducer = Transducer(ranks)
-        self.kept: dict[str, list[int]] = {}
+        self.transducer = Transducer(ranks, most_states)
+        self.most_pieces = most_pieces
+        self.code = "H" if max(ranks.values()) < 1 << 16 else "I"
+        self.kept: dict[str, bytes] = {}
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+        pieces = self.find(text)
         kept = self.kept
-        for piece in self.find(text):
-            ids = kept.get(piece)
-            if ids is None:
-                ids = self.transducer.encode(piece.encode("utf-8"))
-                if len(piece) <= LONGEST_KEPT:
-                    if len(kept) >= MOST_PIECES:
-                        kept.clear()
-                    kept[piece] = ids
-            out += ids
-        return out
+        long: dict[str, bytes] = {}
+        for piece in set(pieces).difference(kept):
+            ids = array(self.code, self.transducer.encode(piece.encode("utf-8"))).tobytes()
+            if len(piece) <= LONGEST_KEPT:
+                kept[piece] = ids
+            else:
+                long[piece] = ids
+        found = b"".join(map(kept.__getitem__, pieces)) if not long else b"".join(kept[p] if p in kept else long[p] for p in pieces)
+        if len(kept) > self.most_pieces:
+            kept.clear()
+        return memoryview(found).cast(self.code).tolist()
 
 
 class Utf8Stream:
@@ -273,9 +279,9 @@ def decode(ids: list[int], bytes_of: dict[int, bytes], chunk: int = 65_536) -> s
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def _encoder(path: str, pattern: str) -> Encoder:
+def _kept_encoder(path: str, pattern: str) -> Encoder:
     if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(load_ranks(path), pattern)
+        _encoders[path, pattern] = Encoder(load_ranks(path), pattern, ALONE * MOST_PIECES, ALONE * MOST_STATES)
     return _encoders[path, pattern]
 
 
@@ -289,7 +295,7 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     schema = df.select(*[f"`{c}`" for c in kept]).schema.add(ids_col, ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks_path, pattern)
+        encoder = Encoder(load_ranks(ranks_path), pattern)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -323,7 +329,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks_path, pattern)
+        encoder = _kept_encoder(ranks_path, pattern)
         bytes_of = encoder.transducer.bytes_of
         decimal = {i: str(i) for i in bytes_of}
         for batch in batches:
