@@ -4,7 +4,7 @@
    and, for each document, the numbers of its pre-tokens in that list with their frequencies, packed. This table
    is written to the shared folder: later steps don't depend on reading the documents in the same order again.
 2. The blocks' pre-tokens meet by value, sorted, so that a pre-token's pieces are counted once wherever it occurs.
-3. The counts go back to their blocks and join the documents' frequencies there; a document's sum is one dot product.
+3. The counts go back to their blocks, packed likewise, and join the documents' frequencies there; a document's sum is one dot product.
 
 What is shuffled is a row for each distinct pre-token of a block and a packed row for each document, never a row
 for each word. A pre-token that every document has is one row a block.
@@ -28,6 +28,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from recallgrid.llm.common import write_shared
 
+#: Counts that a task holds before it hands them back to their blocks, packed.
+HELD_COUNTS = 1_000_000
 #: Characters whose class, case and composition are the same in any version of Unicode.
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧€]")
 
@@ -173,20 +175,38 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, last, n = _pre_tokens(tokenizer_path), None, 0
+        held: list[tuple[np.ndarray, np.ndarray, list[int]]] = []
+
+        def packed_by_block() -> pa.RecordBatch:
+            blocks, numbers, counts = (np.concatenate([np.asarray(h[i]) for h in held]) for i in range(3))
+            order = np.lexsort((numbers, blocks))
+            own, start = np.unique(blocks[order], return_index=True)
+            ends = np.append(start[1:], len(order))
+            rows = [pack(numbers[order[x:y]].astype(np.int64), counts[order[x:y]]) for x, y in zip(start, ends, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(rows, pa.binary())], ["block", "counts"])
+
         for batch in batches:
             counts = []
             for word in batch.column(2).to_pylist():
                 if word != last:
                     last, n = word, model.pieces(word)
                 counts.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int32())], ["block", "number", "n"])
+            if counts:
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), counts))
+            if sum(len(h[2]) for h in held) >= HELD_COUNTS:
+                yield packed_by_block()
+                held.clear()
+        if held:
+            yield packed_by_block()
 
     words = packed.where("words is not null").select("block", F.posexplode("words").alias("number", "word"))
-    counted = words.repartition("word").sortWithinPartitions("word").mapInArrow(count, "block long, number int, n int")
+    counted = words.repartition("word").sortWithinPartitions("word").mapInArrow(count, "block long, counts binary")
 
     def total(rows: pa.Table, counts: pa.Table) -> pa.Table:
-        each = np.zeros(counts.num_rows, np.int64)
-        each[counts.column("number").to_numpy()] = counts.column("n").to_numpy()
+        found = [unpack(c) for c in counts.column("counts").to_pylist()]
+        each = np.zeros(1 + max((int(numbers[-1]) for numbers, _ in found), default=0), np.int64)
+        for numbers, n in found:
+            each[numbers] = n
         sums = []
         for data, extra in zip(rows.column("packed").to_pylist(), rows.column("extra").to_pylist(), strict=True):
             numbers, times = unpack(data)
