@@ -7,8 +7,11 @@ on many pages lower its content importance. A branch's importance joins its own
 Branches of low importance (menus, notices and the like that a host repeats) are dropped from every page.
 
 What HTML itself says counts too: elements that by their tag, role or class are navigation, adverts, forms, comments
-and so on have importance 0, and text within an article has a floor, so that a host whose pages are copies of each
-other keeps its articles. Copies of a page count once for the tree; hosts with few distinct pages have no tree.
+and so on go by these rules alone. Elsewhere the tree decides, inside an article as well as outside: where a text
+stands is a weight, which a text that returns on nearly all pages overcomes. Copies of a page count once for the
+tree, and an article of which less than half would be left is a near copy of others, and stays. Hosts with few distinct
+pages have a tree for what is outside of articles; a page that is the only one of its host gives its article by the
+tag, if it has one.
 
 The tree is a table of counts by host and node, never a group of pages: a host that has a third of all pages is
 counted by partial sums. What pages are joined with is the list of their host's dull nodes.
@@ -49,6 +52,8 @@ SCOPES = {"table", "ul", "ol", "dl", "article", "section", "div", "body", "main"
 LOW = 0.45
 GAMMA = 0.9
 LEAST_PAGES = 8
+#: What the place of a text weighs against its counts: within an article, elsewhere.
+MAIN_WEIGHT, WEIGHT = 0.4, 0.5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[a-zA-Z/][^>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -160,23 +165,28 @@ class Page:
         self._flush()
 
     def wanted(self, dull: frozenset[int] | set[int]) -> list[str]:
-        """The texts of the blocks that are neither noise nor below a dull node; within articles, if there are any."""
-        out, known = [], {}
+        """The texts of the blocks that are neither noise nor dull nor below a dull node; articles that are mostly dull stay.
+
+        Without a tree (which has the root among its dull nodes) only those within articles, if there are any.
+        """
+        known: dict[str, bool] = {}
+        kept: list[tuple[bool, bool, str]] = []
+        cut = self.has_main and _number("") not in dull
         for path, noise, main, text in self.blocks:
-            if noise or (self.has_main and not main):
+            if noise or (cut and not main):
                 continue
+            bad = False
             if dull:
-                bad = known.get(path)
-                if bad is None:
+                if path not in known:
                     steps = path.split("/")
-                    bad = known[path] = any(_number("/".join(steps[:i])) in dull for i in range(2, len(steps) + 1))
-                if bad:
-                    continue
-            out.append(text)
-        return out
+                    known[path] = any(_number("/".join(steps[:i])) in dull for i in range(2, len(steps) + 1))
+                bad = known[path] or _number(f"{path}\n{_number(text) >> 32}") in dull
+            kept.append((main, bad, text))
+        copy = 2 * sum(len(t) for main, bad, t in kept if main and bad) > sum(len(t) for main, _, t in kept if main)
+        return [t for main, bad, t in kept if not bad or (main and copy)]
 
     def features(self) -> tuple[int, list[dict]]:
-        """A digest of the page's texts, and its nodes: path, the path above, kind (0 style, 1 text), value, prior."""
+        """A digest of the page's texts, and its nodes: path, kind (0 style, 1 text), value, prior."""
         seen: dict[tuple, dict] = {}
         for path, below in self.children.items():
             style = [x for i, x in enumerate(below) if not i or below[i - 1] != x]
@@ -207,35 +217,36 @@ def host():
 
 
 def style_tree(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, path, importance of every node of every host with least_pages distinct pages or more.
+    """host, path, value, importance of every node (value null) and text of every host with two distinct pages or more.
 
     For n pages of a host: a style that c of a node's pages have adds -(c/m) log_n(c/m) to its presentation
-    importance (m: pages with the node). A text that c pages have has importance 1 - log_n(c); a node's content
-    importance is the mean over its distinct texts, joined half and half with the prior of where it stands. A
-    branch of l styles weighs its own presentation by 1 - GAMMA**l and the mean of the texts below by the rest; one
-    style for all pages says nothing against its texts, so that the mean of the texts is the least.
+    importance (m: pages with the node). A text that c pages have has importance 1 - log_n(c), joined with the
+    prior of where it stands (MAIN_WEIGHT, WEIGHT); a node's content importance is the mean over its distinct texts.
+    Of hosts with less than least_pages pages only nodes and texts outside of articles are given. A branch of l styles
+    weighs its own presentation by 1 - GAMMA**l and the mean of the texts below by the rest; one style for all pages
+    says nothing against its texts, so that the mean of the texts is the least.
     """
     once = page_nodes(pages).groupBy("host", "digest").agg(F.first("nodes").alias("nodes"))
     each = once.select("host", F.explode("nodes").alias("v")).select("host", "v.*")
-    counts = each.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"), F.max("prior").alias("prior"))
+    counts = write_shared(each.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"), F.max("prior").alias("prior")), "counts")
     # The root has one row of children for each page, so its styles' counts are the host's pages.
-    n = F.max(F.when((F.col("path") == "") & (F.col("kind") == 0), F.col("m")))
-    nodes = write_shared(
-        counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.count("*").alias("l"), F.sum(F.log("c")).alias("logs"), F.sum(F.col("c") * F.log("c")).alias("c_logs"), F.max("prior").alias("prior")),
-        "nodes",
-    )
-    sizes = nodes.groupBy("host").agg(n.alias("n")).where(F.col("n") >= least_pages)
-    known = nodes.join(sizes, "host")
+    sizes = counts.where("path = '' AND kind = 0").groupBy("host").agg(F.sum("c").alias("n")).where("n >= 2")
+    known = counts.join(sizes, "host")
     log_n = F.log(F.col("n").cast("double"))
-    leaf = known.where("kind = 1").select("host", "path", "l", (F.col("l") * (0.5 * F.col("prior") + 0.5 * (1 - F.col("logs") / F.col("l") / log_n))).alias("worth"))
+    weight = F.when(F.col("prior") == 1, MAIN_WEIGHT).otherwise(WEIGHT)
+    texts = known.where("kind = 1").select("host", "path", "value", "n", "prior", (weight * F.col("prior") + (1 - weight) * (1 - F.log("c") / log_n)).alias("worth"))
     # A text counts for its node and for all above it.
+    leaf = texts.groupBy("host", "path", "n").agg(F.sum("worth").alias("worth"), F.count("*").alias("l"), F.max("prior").alias("prior"))
     steps = F.split("path", "/")
     up = leaf.withColumn("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))))
-    content = up.groupBy("host", "path").agg((F.sum("worth") / F.sum("l")).alias("content"))
-    shown = known.where("kind = 0").select("host", "path", "l", ((F.log(F.col("m").cast("double")) - F.col("c_logs") / F.col("m")) / log_n).alias("style"))
+    content = up.groupBy("host", "path", "n").agg((F.sum("worth") / F.sum("l")).alias("content"), F.max("prior").alias("prior"))
+    styles = known.where("kind = 0").groupBy("host", "path", "n").agg(F.sum("c").alias("m"), F.count("*").alias("l"), F.sum(F.col("c") * F.log("c")).alias("c_logs"))
+    shown = styles.select("host", "path", "l", ((F.log(F.col("m").cast("double")) - F.col("c_logs") / F.col("m")) / log_n).alias("style"))
     own = F.pow(F.lit(GAMMA), F.coalesce(F.col("l"), F.lit(0)))
     joint = (1 - own) * F.coalesce(F.col("style"), F.lit(0)) + own * F.col("content")
-    return content.join(shown, ["host", "path"], "left").select("host", "path", F.greatest(joint, "content").alias("importance"))
+    nodes = content.join(shown, ["host", "path"], "left").select("host", "path", F.lit(None).cast("int").alias("value"), "n", "prior", F.greatest(joint, "content").alias("importance"))
+    both = nodes.union(texts.where("prior > 0").select("host", "path", "value", "n", "prior", "worth"))
+    return both.where((F.col("n") >= least_pages) | (F.col("prior") < 1) | (F.col("path") == "")).select("host", "path", "value", "importance")
 
 
 def extract(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -246,8 +257,10 @@ def extract(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES)
     null url) form one host of no name. Repeated rows and ids give a row each; other columns aren't carried over;
     an empty table gives none.
     """
-    dull = style_tree(pages, least_pages).where((F.col("importance") < low) & (F.col("path") != ""))
-    dull = write_shared(dull.select("host", "path"), "dull")
+    # The root stands for the tree itself. A noise block goes anyhow, so its texts (prior 0) needn't be listed.
+    root = (F.col("path") == "") & F.col("value").isNull()
+    dull = style_tree(pages, least_pages).where(root | (F.col("importance") < low))
+    dull = write_shared(dull.select("host", F.concat_ws("\n", "path", F.col("value").cast("string")).alias("path")), "dull")
     few = dull.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     lists = dull.groupBy("host").agg(F.collect_set("path").alias("dull"))
     lists = F.broadcast(lists) if few else lists  # else pages are shuffled by host, and large hosts split

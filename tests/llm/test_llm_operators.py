@@ -454,3 +454,30 @@ def test_made_pages_give_their_articles(spark, sf):
         inner = re.search(r"<article>(.*?)(?:</article>|\Z)", p.html, re.S)[1]
         blocks = [" ".join(unescape(re.sub(r"</?b>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", re.sub(r"<[a-z/]*\Z", "", inner))]
         assert got[p.page_id] == " ".join(filter(None, blocks))
+
+
+def test_tree_decides_inside_and_outside_articles(spark):
+    """Boxes and lines that a host repeats within its articles go, own text beside an article stays; near copies keep theirs."""
+    r = random.Random(9)
+    words = ["river", "stone", "lamp", "garden", "paper", "cloud", "engine", "bread", "violet", "north"]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows, want = [], {}
+
+    def put(host, body, text):
+        rows.append((len(rows), f"https://{host}.example/{len(rows)}", page(body)))
+        want[len(rows) - 1] = text
+
+    for _ in range(30):  # a box with a path of its own, and a line among the paragraphs
+        a, b, c = say(20), say(25), say(12)
+        put("large", f'<article><h1>{a}</h1><div class="q7"><p>Read more stories like this one</p></div><p>{b}</p><p>All rights remain with us</p></article><div class="own"><p>{c}</p></div><div class="z3"><p>Home Products</p></div>', f"{a} {b} {c}")
+    base = [say(40) for _ in range(6)]
+    for i in range(30):  # near copies: one word differs, in a paragraph each
+        own = list(base)
+        own[i % 6] += f" edit{i}"
+        put("near", "<article><h1>One title</h1>" + "".join(f"<p>{x}</p>" for x in own) + "</article>", " ".join(["One title", *own]))
+    for _ in range(4):  # few pages: a tree for what is outside of articles
+        a, b = say(20), say(15)
+        put("small", f'<article><h1>Same head</h1><p>{a}</p></article><div class="own"><p>{b}</p></div><div class="z3"><p>Home Products</p></div>', f"Same head {a} {b}")
+    put("single", '<article><p>Only this</p></article><div class="z3"><p>Home Products</p></div>', "Only this")
+    got = {r.page_id: r.text for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
