@@ -125,7 +125,7 @@ def ppr_scores(spark, sf):
 
 @query("ppr_candidates")
 def ppr_candidates(spark, sf):
-    found = _places(spark, sf)
+    found = triples(spark, sf)
     evidence = found.select(entity_id(F.col("subject")).alias("entity"), F.concat(F.lit("drawer_"), F.col("object")).alias("drawer_id"))
     return graph.pagerank_candidates(graph.pagerank(graph.adjacency(found), ["nation_7"]), evidence)
 
