@@ -199,7 +199,7 @@ def closet_pack(spark, sf):
 @query("dialect_summary")
 def dialect_summary(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", dialect.header(F.col("lang"), F.col("source"), F.lit(None).cast("string"), F.lit("notes/a.md")).alias("header"), dialect.summary(F.substring("text", 1, 2000)).alias("summary"))
+    return d.select("doc_id", dialect.header(F.col("lang"), F.col("source"), F.lit(None).cast("string"), F.lit("notes/a.md")).alias("header"), dialect.summary(F.col("text")).alias("summary"))
 
 
 @query("dialect_emotions", "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN '{c}' END" for w, c in list(dialect.EMOTIONS.items())[:6]) + "], lambda x: x IS NOT NULL), '+') AS codes FROM (SELECT conv_id * 1000 + turn AS doc_id, text || [' decided', ' worried', ' love', ' x'][turn % 4 + 1] AS text FROM conversations) WHERE NOT regexp_matches(lower(text), '" + "|".join(list(dialect.EMOTIONS)[7:]) + "') AND NOT contains(lower(text), 'love')")

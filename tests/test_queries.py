@@ -63,3 +63,10 @@ def test_ppr_candidates_over_all_triples(spark, sf):
     want = {f"drawer_{t.object}" for t in facts if norm(t.subject) in best}
     got = {r.drawer_id for r in registry.QUERIES["ppr_candidates"](spark, sf).collect()}
     assert got == want and any(x.startswith("drawer_Order") for x in got)
+
+
+def test_dialect_summary_reads_whole_texts(spark, tmp_path):
+    text = "Plain words of no weight. " * 100 + "We decided to use Quartz because it was the key. I love it."
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["dialect_summary"](spark, str(tmp_path)).first().summary
+    assert "QUA" in got and "decided" in got and "love" in got
