@@ -273,12 +273,19 @@ def token_f1(spark, sf):
 
 @query("substring_recall", "SELECT item_id, count(DISTINCT source) AS sources FROM benchmark JOIN documents ON contains(documents.text, substr(benchmark.text, 1, 60)) GROUP BY item_id")
 def substring_recall(spark, sf):
-    """Items whose first 60 characters stand in documents; items and documents meet on the first word of the item."""
+    """Items whose first 60 characters stand in documents.
+
+    Items and documents meet on the longest run of letters that the needle has whole, between other characters. An
+    item without such a run is looked for in every document.
+    """
     items = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 60).alias("needle"))
-    word = F.regexp_extract("needle", r"[A-Za-z]{5,}", 0)
-    keyed = items.withColumn("word", word)
-    d = table(spark, sf, "documents").select("source", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{5,}"), F.lit(0)))).alias("word"))
-    return keyed.join(d, "word").where(F.contains("text", "needle")).groupBy("item_id").agg(F.countDistinct("source").alias("sources"))
+    runs = F.transform(F.regexp_extract_all("needle", F.lit(r"(?<=[^A-Za-z])[A-Za-z]{5,}(?=[^A-Za-z])"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("word")))
+    keyed = items.withColumn("word", F.array_max(runs)["word"])
+    d = table(spark, sf, "documents").select("source", "text")
+    words = d.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{5,}"), F.lit(0)))))
+    met = keyed.join(words, "word").where(F.contains("text", "needle")).select("item_id", "source")
+    rest = d.join(F.broadcast(keyed.where("word IS NULL")), F.contains("text", "needle")).select("item_id", "source")
+    return met.union(rest).groupBy("item_id").agg(F.countDistinct("source").alias("sources"))
 
 
 @query("speaker_sessions", "SELECT conv_id, string_agg(role || ' said, \"' || text || '\"', chr(10) ORDER BY turn) AS session FROM conversations GROUP BY conv_id")
