@@ -126,7 +126,8 @@ def ppr_scores(spark, sf):
 @query("ppr_candidates")
 def ppr_candidates(spark, sf):
     found = triples(spark, sf)
-    evidence = found.select(entity_id(F.col("subject")).alias("entity"), F.concat(F.lit("drawer_"), F.col("object")).alias("drawer_id"))
+    ends = F.explode(F.array(entity_id(F.col("subject")), entity_id(F.col("object"))))
+    evidence = found.where("valid_to IS NULL").select(ends.alias("entity"), F.concat(F.lit("drawer_"), F.col("object")).alias("drawer_id"))
     return graph.pagerank_candidates(graph.pagerank(graph.adjacency(found), ["nation_7"]), evidence)
 
 
