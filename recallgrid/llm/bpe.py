@@ -6,7 +6,8 @@ bytes on their own gives the pair back. So a text's encoding is the one path of
 whose states are (last token, node of the trie of U) and which checks each pair as it closes a token. Transducer
 makes that machine deterministic as it reads: a state is the set of live hypotheses, each with the tokens that
 it has not emitted yet. What all hypotheses agree on is emitted at once, so the lookahead is bounded by the
-longest token. States and transitions are kept in a cache of a fixed size that starts afresh when full.
+longest token. States and transitions are kept in a cache of a fixed size. When it is full, what it doesn't hold
+is worked out on the way, without being kept; it starts afresh once that has become frequent.
 
 Decoding. Utf8Stream keeps the state of a UTF-8 machine between chunks of ids: a character that is cut by the
 end of a chunk waits for its remaining bytes; malformed bytes become U+FFFD, one for each maximal part.
@@ -19,18 +20,23 @@ import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-#: Limits of the caches in a Python worker. They bound memory, not results: some 150 MB, which end with the task.
-MOST_STATES = 50_000
+from recallgrid.llm.common import freeing, texts_of
+
+#: Limits of the caches in a Python worker. They bound memory, not results: some 120 MB, which end with the task.
+MOST_STATES = 60_000
 MOST_PIECES = 200_000
-#: Where nothing else runs in the worker, twice that, kept from task to task.
-ALONE = 2
+#: Where nothing else runs in the worker, three times that, kept from task to task.
+ALONE = 3
 LONGEST_KEPT = 64
+#: A full cache starts afresh after so many misses for each of its entries.
+PATIENCE = 20
 
 _NEVER = 1 << 60
 
@@ -92,6 +98,7 @@ class Transducer:
         self.states: list[tuple] = []
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.finals: dict[int, tuple[int, ...]] = {}
+        self.missed = 0
         self._state(((-1, (), 0),))
 
     def _state(self, hypotheses: tuple) -> int:
@@ -148,10 +155,10 @@ class Transducer:
             ok = self.pair_ok[key] = self._apart(a, b, _NEVER)
         return ok
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The transition, made when it is first needed. Hypotheses stand in the order in which their open tokens begin."""
+    def _step(self, hypotheses: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """What a byte makes of a state, and the tokens emitted. Hypotheses stand in the order in which their open tokens begin."""
         child, ends, goes_on, after, closed = self.child.get, self.ends, self.open, [], None
-        for last, held, node in self.states[state]:
+        for last, held, node in hypotheses:
             to = child(node << 8 | byte)
             if to is None:
                 continue
@@ -164,53 +171,74 @@ class Transducer:
         if closed:
             after.append(closed)
         if not after:
-            return self._state(()), ()
+            return (), ()
         agreed = after[0][1]
-        for other in after:
-            if agreed != other[1]:
-                n = 0
-                for x, y in zip(agreed, other[1], strict=False):
-                    if x != y:
-                        break
-                    n += 1
-                agreed = agreed[:n]
-                if not n:
-                    break
         if agreed:
-            n = len(agreed)
-            after = [(last, held[n:], node) for last, held, node in after]
-        return self._state(tuple(after)), agreed
+            for other in after:
+                if agreed != other[1]:
+                    n = 0
+                    for x, y in zip(agreed, other[1], strict=False):
+                        if x != y:
+                            break
+                        n += 1
+                    agreed = agreed[:n]
+                    if not n:
+                        break
+            if agreed:
+                n = len(agreed)
+                after = [(last, held[n:], node) for last, held, node in after]
+        return tuple(after), agreed
+
+    def _final(self, hypotheses: tuple, piece: bytes) -> tuple[int, ...]:
+        ends = [held for _, held, node in hypotheses if node == 0]
+        if len(ends) != 1:
+            raise ValueError(f"the merges don't give one encoding but {len(ends)} of {piece[:80]!r}")
+        return ends[0]
 
     def encode(self, piece: bytes) -> list[int]:
         if not piece:
             return []
-        if len(self.states) > self.most_states:
-            self._clear()
         out: list[int] = []
         state, steps = 0, self.steps
-        for byte in piece:
+        for at, byte in enumerate(piece):
             step = steps.get(state << 8 | byte)
             if step is None:
-                step = steps[state << 8 | byte] = self._step(state, byte)
-                if len(self.states) > 2 * self.most_states:  # within one very long piece
-                    hypotheses = self.states[step[0]]
-                    self._clear()
-                    steps, step = self.steps, (self._state(hypotheses), step[1])
+                if len(self.states) >= self.most_states:
+                    return self._encode_rest(piece, at, state, out)
+                after, agreed = self._step(self.states[state], byte)
+                step = steps[state << 8 | byte] = (self._state(after), agreed)
             state, emitted = step
             if emitted:
                 out += emitted
         final = self.finals.get(state)
         if final is None:
-            ends = [held for _, held, node in self.states[state] if node == 0]
-            if len(ends) != 1:
-                raise ValueError(f"the merges don't give one encoding but {len(ends)} of {piece[:80]!r}")
-            final = self.finals[state] = ends[0]
+            final = self.finals[state] = self._final(self.states[state], piece)
         out += final
         return out
 
+    def _encode_rest(self, piece: bytes, at: int, state: int, out: list[int]) -> list[int]:
+        """Goes on from a place for which the full cache has no step; where a known state is met, by its steps."""
+        steps, states, number = self.steps, self.states, self.number
+        hypotheses, known = states[state], state
+        for byte in piece[at:] if at else piece:
+            step = steps.get(known << 8 | byte) if known is not None else None
+            if step is None:
+                hypotheses, emitted = self._step(hypotheses, byte)
+                known = number.get(hypotheses)
+                self.missed += 1
+            else:
+                known, emitted = step
+                hypotheses = states[known]
+            if emitted:
+                out += emitted
+        out += self._final(hypotheses, piece)
+        if self.missed > PATIENCE * self.most_states:
+            self._clear()
+        return out
+
 
 class Encoder:
-    """Encodes texts: pre-tokens by a pattern, each by the transducer, with a bounded cache of frequent pre-tokens."""
+    """Encodes texts: pre-tokens by a pattern, each by the transducer, with a bounded cache of pre-tokens."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = MOST_PIECES, most_states: int = MOST_STATES):
         self.find = regex.compile(pattern).findall
@@ -218,21 +246,36 @@ class Encoder:
         self.most_pieces = most_pieces
         self.code = "H" if max(ranks.values()) < 1 << 16 else "I"
         self.kept: dict[str, bytes] = {}
+        self.missed = 0
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The text's ids, each in the machine's form of type code self.code."""
         pieces = self.find(text)
-        kept = self.kept
-        long: dict[str, bytes] = {}
-        for piece in set(pieces).difference(kept):
-            ids = array(self.code, self.transducer.encode(piece.encode("utf-8"))).tobytes()
-            if len(piece) <= LONGEST_KEPT:
+        kept, encode, code = self.kept, self.transducer.encode, self.code
+        new = set(pieces).difference(kept)
+        if not new:
+            return b"".join(map(kept.__getitem__, pieces))
+        room = self.most_pieces - len(kept)
+        own: dict[str, bytes] = {}
+        for piece in new:
+            ids = array(code, encode(piece.encode("utf-8"))).tobytes()
+            if room > 0 and len(piece) <= LONGEST_KEPT:
                 kept[piece] = ids
+                room -= 1
             else:
-                long[piece] = ids
-        found = b"".join(map(kept.__getitem__, pieces)) if not long else b"".join(kept[p] if p in kept else long[p] for p in pieces)
-        if len(kept) > self.most_pieces:
-            kept.clear()
-        return memoryview(found).cast(self.code).tolist()
+                own[piece] = ids
+        if not own:
+            return b"".join(map(kept.__getitem__, pieces))
+        found = b"".join([kept[p] if p in kept else own[p] for p in pieces])
+        if room <= 0:
+            self.missed += len(own)
+            if self.missed > PATIENCE * self.most_pieces:
+                kept.clear()
+                self.missed = 0
+        return found
+
+    def encode(self, text: str) -> list[int]:
+        return memoryview(self.packed(text)).cast(self.code).tolist()
 
 
 class Utf8Stream:
@@ -285,24 +328,38 @@ def _kept_encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
-def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None) -> DataFrame:
     """df with ids_col, array<int>: the ids of each whole text; a null text counts as empty and gives no ids.
 
-    Works row by row, so repeated rows, ties and an empty table need no rule. A column of df that is called
-    ids_col is replaced; all others stay as they are.
+    With check_col, a boolean of that name says whether decoding the ids gives the text back; both ways are one pass.
+    Works row by row, so repeated rows, ties and an empty table need no rule. Columns of df that are called
+    ids_col or check_col are replaced; all others stay as they are.
     """
-    kept = [c for c in df.columns if c != ids_col]
-    schema = df.select(*[f"`{c}`" for c in kept]).schema.add(ids_col, ArrayType(IntegerType()))
+    kept = [c for c in df.columns if c not in (ids_col, check_col)]
+    source = df.select(*[f"`{c}`" for c in kept])
+    schema = StructType(list(source.schema.fields)).add(ids_col, ArrayType(IntegerType()))
+    if check_col:
+        schema = schema.add(check_col, "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(load_ranks(ranks_path), pattern)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                ids = pa.array([encoder.encode(t or "") for t in part.column(part.schema.get_field_index(text_col)).to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, ids_col])
+        bytes_of = encoder.transducer.bytes_of
+        for part in _slices(batches):
+            texts = texts_of(part.column(kept.index(text_col)))
+            coded = [np.frombuffer(encoder.packed(t), encoder.code) for t in texts]
+            ends = np.cumsum([0, *map(len, coded)], dtype=np.int32)
+            out = [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(coded).astype(np.int32)))]
+            if check_col:
+                out.append(pa.array([decode(ids.tolist(), bytes_of) == t for ids, t in zip(coded, texts, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    return df.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
+    return source.mapInArrow(freeing(run), schema)
 
 
 def decode_ids(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -312,13 +369,11 @@ def decode_ids(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = {i: t for t, i in load_ranks(ranks_path).items()}
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = [decode(ids or [], bytes_of) for ids in part.column(part.schema.get_field_index(ids_col)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out_col])
+        for part in _slices(batches):
+            texts = [decode(ids or [], bytes_of) for ids in part.column(part.schema.get_field_index(ids_col)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out_col])
 
-    return df.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
+    return df.select(*[f"`{c}`" for c in kept]).mapInArrow(freeing(run), schema)
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,7 +387,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
         encoder = _kept_encoder(ranks_path, pattern)
         bytes_of = encoder.transducer.bytes_of
         decimal = {i: str(i) for i in bytes_of}
-        for batch in batches:
+        for batch in _slices(batches):
             n, coded, back = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = encoder.encode(text or "")

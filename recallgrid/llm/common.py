@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,13 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder set on the context.
+
+    Where both are unset, a new folder of this machine serves a session that runs on it alone; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     if set_in_session := spark.conf.get("spark.checkpoint.dir", None):
         return set_in_session.rstrip("/")
     own = sc._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rsplit("/", 1)[0]
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="recallgrid-")
     sc.setCheckpointDir(made)
     return made
@@ -61,6 +71,25 @@ def block_of(n_blocks: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cols]), F.lit(n_blocks)).cast("int")
 
 
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, giving what it no longer uses back to the system at its end: idle workers live on beside the next stage."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return freed
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems' C libraries do without
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
