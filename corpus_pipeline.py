@@ -42,8 +42,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def with_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their ids (byte-level BPE), the number of ids, and whether decoding gives the text back."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.decode_ids(bpe.encode_texts(docs, path, public_tokenizers.PATTERN), path)
-    return coded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    coded = bpe.encode_texts(docs, path, public_tokenizers.PATTERN, check_col="round_trip")
+    return coded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
