@@ -11,6 +11,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from recallgrid.llm import bpe, chat, fertility, linededup, phraseindex, quality, queries, simhash, sitetree, tokencount, warc
@@ -481,3 +482,47 @@ def test_tree_decides_inside_and_outside_articles(spark):
     put("single", '<article><p>Only this</p></article><div class="z3"><p>Home Products</p></div>', "Only this")
     got = {r.page_id: r.text for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
+
+
+def test_tree_decides_without_names(spark):
+    """No telling tag or name anywhere: the tree alone tells a host's frame from its texts, and without it the frame stays."""
+    r = random.Random(10)
+    words = ["river", "stone", "lamp", "garden", "paper", "cloud", "engine", "bread", "violet", "north"]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    boxes = [say(6) for _ in range(4)]
+    rows, want = [], {}
+    for host, n in (("big", 60), ("small", 3)):
+        for _ in range(n):
+            own = [say(20) for _ in range(3)]
+            want[len(rows)] = " ".join(own)
+            rows.append((len(rows), f"https://{host}.example/{len(rows)}", page(f'<div class="k1"><p>Start Contact</p></div><div class="k2"><p>{boxes[len(rows) % 4] if n > 9 else boxes[0]}</p></div><div class="k3">' + "".join(f"<p>{x}</p>" for x in own) + "</div>")))
+    got = {r.page_id: r.text for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert all(" ".join(sitetree.Page(h).wanted(set())) != want[i] for i, _, h in rows)
+
+
+def test_both_ways_to_dull_keys(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("html", F.regexp_replace("html", "</?(article|nav|footer)>", ""))
+    pages = pages.union(pages.limit(20)).withColumn("keys", F.lit("mine")).withColumn("host", F.lit(1))
+    pages = pages.union(spark.createDataFrame([(None, None, None, "x", 1), (None, None, None, "x", 1), (7, None, "<p>no host</p>", "x", 1)], pages.schema))
+    sent, joined = (sorted(map(tuple, sitetree.extract(pages, most_keys=n).collect()), key=str) for n in (sitetree.MOST_KEYS, 0))
+    assert sent == joined and len(sent) == pages.count()
+    assert (7, None, "no host", 7) in sent and sent.count((None, None, "", 0)) == 2
+
+
+def test_spark_and_python_make_the_same_keys(spark):
+    rows = [("", 0), ("a.example", -(1 << 63)), ("ü.example", (1 << 63) - 1), ("a.example", 12345)]
+    got = spark.createDataFrame(rows, "host string, item long").select("host", "item", F.xxhash64("host", "item").alias("k")).collect()
+    assert all(sitetree.key_of(sitetree._seed(r.host), r.item) == r.k for r in got)
+
+
+def test_depth_costs_no_memory():
+    import tracemalloc
+
+    n = 100_000
+    tracemalloc.start()
+    deep = sitetree.Page("<div>" * n + "in the deep" + "<b>" * n + "</i>" * n + "</div>" * n + "<p>after</p>")
+    nodes = deep.features()
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert deep.wanted(set()) == ["in the deep", "after"] and len(nodes) < 600
