@@ -90,6 +90,15 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """name, or the first longer one that no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 

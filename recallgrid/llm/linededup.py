@@ -1,27 +1,31 @@
 """Line deduplication by a sharded minimal perfect hash over distinct line hashes.
 
-Documents are dealt out to blocks, and a block hands each shard of the hash space one packed list of the distinct
-line hashes that it holds, with the number of its documents and its largest document id for each. A shard merges
-the lists, builds a minimal perfect hash over its distinct hashes, and keeps three compact arrays at the hash's
-slots: a fingerprint, a count that stops at 255, and the owner (the largest id). The blocks' lists then probe these
-arrays; only the lines that are repeated return to the block, which drops them from its documents.
-
-So lines are never joined one by one: a shuffle moves a packed row for each block and shard, a line that is in
-every document is one entry a block, and the memory of a shard is about 40 bytes for each of its lines.
+Documents are dealt out to blocks. A block lists the distinct line hashes that it holds, each with the number of its
+documents and its largest document id. line_index() merges the lists shard by shard of the hash space: a shard is a
+minimal perfect hash over its distinct hashes and three compact arrays at the hash's slots: a fingerprint, a count that
+stops at 255, and the owner (the largest id). drop_repeated() sends documents' hashes to the shards, where they
+probe these arrays; only the lines that are repeated return to their block, which drops them from its documents. Documents may
+probe an index of other documents: the fingerprint tells a line that was not built in.
+
+So lines are never joined one by one, a line that is in every document is one entry a block, and the memory of a
+shard is about 40 bytes for each of its lines. Blocks and shards grow in number with the data, not in size.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from recallgrid.llm.common import INT64_MIN, block_of, count_for
+from recallgrid.llm.common import INT64_MIN, block_of, count_for, unused_name
 
-_ENTRY = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("n", "<u4"), ("owner", "<i8")])
-_REPEATED = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("owner", "<i8")])
+#: Bytes of input for a block and for a shard.
+BLOCK_BYTES, SHARD_BYTES = 2 << 20, 8 << 20
 
 
 class MinimalPerfectHash:
@@ -51,6 +55,18 @@ class MinimalPerfectHash:
         self.rest, self.first_rest = rest, n
         self.size = n + len(rest)
 
+    @classmethod
+    def of(cls, bits: list[np.ndarray], rest: np.ndarray) -> MinimalPerfectHash:
+        """From the levels' bits and the hashes that no level has settled."""
+        made, n = cls.__new__(cls), 0
+        made.levels = []
+        for words in bits:
+            ones = np.bitwise_count(words).astype(np.int64)
+            made.levels.append((words, n + np.cumsum(ones) - ones, 64 * len(words)))
+            n += int(ones.sum())
+        made.rest, made.first_rest, made.size = rest, n, n + len(rest)
+        return made
+
     @staticmethod
     def _place(hi: np.ndarray, lo: np.ndarray, level: int, size: int) -> np.ndarray:
         x = hi + lo * np.uint64(2 * level + 1) + np.uint64(level)
@@ -81,23 +97,41 @@ class MinimalPerfectHash:
 class LineIndex:
     """A shard: the minimal perfect hash and, at its slots, fingerprints, counts up to 255 and owners."""
 
-    def __init__(self, entries: np.ndarray):
-        entries = entries[np.lexsort((entries["lo"], entries["hi"]))]
-        new = np.ones(len(entries), bool)
-        new[1:] = (entries["hi"][1:] != entries["hi"][:-1]) | (entries["lo"][1:] != entries["lo"][:-1])
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, n: np.ndarray, owner: np.ndarray):
+        order = np.lexsort((lo, hi))
+        hi, lo = hi[order], lo[order]
+        new = np.ones(len(hi), bool)
+        new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
         start = np.flatnonzero(new)
-        hi, lo = entries["hi"][start], entries["lo"][start]
-        counts, owners = np.add.reduceat(entries["n"].astype(np.int64), start), np.maximum.reduceat(entries["owner"], start)
+        hi, lo = hi[start], lo[start]
+        counts, owners = (np.add.reduceat(n[order].astype(np.int64), start), np.maximum.reduceat(owner[order], start)) if len(start) else (start, start)
         self.hash = MinimalPerfectHash(hi, lo)
         slot = self.hash.slots(hi, lo)
-        self.fingerprints, self.counts, self.owners = np.zeros(self.hash.size, np.uint64), np.zeros(self.hash.size, np.uint8), np.zeros(self.hash.size, np.int64)
+        self.fingerprints, self.counts, self.owners = np.zeros(len(hi), np.uint64), np.zeros(len(hi), np.uint8), np.zeros(len(hi), np.int64)
         self.fingerprints[slot], self.counts[slot], self.owners[slot] = lo, np.minimum(counts, 255), owners
 
     def probe(self, hi: np.ndarray, lo: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are in at least `least` documents, and the owners of all (meaningful where they are)."""
+        if not self.hash.size:
+            return np.zeros(len(hi), bool), np.zeros(len(hi), np.int64)
         slot = self.hash.slots(hi, lo)
-        slot[slot < 0] = 0
-        return (self.fingerprints[slot] == lo) & (self.counts[slot] >= least), self.owners[slot]
+        known = slot >= 0
+        slot[~known] = 0
+        return known & (self.fingerprints[slot] == lo) & (self.counts[slot] >= least), self.owners[slot]
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        levels = {f"level{i}": words for i, (words, _, _) in enumerate(self.hash.levels)}
+        np.savez(out, rest=self.hash.rest, fingerprints=self.fingerprints, counts=self.counts, owners=self.owners, **levels)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> LineIndex:
+        with np.load(io.BytesIO(data)) as found:
+            index = cls.__new__(cls)
+            index.hash = MinimalPerfectHash.of([found[f"level{i}"] for i in range(sum(name.startswith("level") for name in found.files))], found["rest"])
+            index.fingerprints, index.counts, index.owners = found["fingerprints"], found["counts"], found["owners"]
+        return index
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -111,31 +145,19 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
     return xxhash.xxh3_128_digest(key)
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, bytes_each: int = 8 << 20) -> DataFrame:
-    """df with text_col rewritten, n_lines (before) and n_dropped.
+def _keys_of(text: str | None, min_chars: int) -> list[bytes | None]:
+    return [line_key(line, min_chars) for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n")]
 
-    Lines are split at \\n; a key is the line stripped of ASCII white space and with A-Z lower-cased. Keys of
-    min_chars code points or more that min_docs (at most 255) rows hold lose all their lines except in the row
-    with the largest id among them; the others stay in order, joined by \\n. A null text is one empty line and
-    becomes an empty text. Rows that share the largest id all keep the line; a null id is below all others, and
-    if all holders' ids are null, all keep it. Every row counts as a document of its own, repeated ones too. Other
-    columns stay, except that columns called n_lines and n_dropped are replaced. An empty table gives an empty one.
-    """
-    if not 2 <= min_docs <= 255:
-        raise ValueError("min_docs: 2 to 255")
-    blocks, shards = count_for(df, bytes_each, 24, 1 << 20), 1 << (count_for(df, bytes_each, 32, 8192) - 1).bit_length()
-    shift = np.uint64(65 - shards.bit_length())
-    docs = df.drop("n_lines", "n_dropped").withColumn("__block", block_of(blocks, id_col, text_col))
-    columns = docs.columns[:-1]
 
-    def keys_of(text: str | None) -> list[bytes | None]:
-        return [line_key(line, min_chars) for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n")]
+def _lists(df: DataFrame, id_col: str, text_col: str, min_chars: int, block: str, shards: int) -> DataFrame:
+    """block, shard, hi, lo (a line's hash), n and owner: one row for each distinct line of a block."""
+    shift = np.uint64(65 - shards.bit_length())
 
     def collect(key: tuple, rows: pa.Table) -> pa.Table:
         held: dict[bytes, list[int]] = {}
         for doc_id, text in zip(rows.column(id_col).to_pylist(), rows.column(text_col).to_pylist(), strict=True):
             own = INT64_MIN if doc_id is None else doc_id
-            for k in set(keys_of(text)):
+            for k in set(_keys_of(text, min_chars)):
                 if k is not None:
                     entry = held.get(k)
                     if entry is None:
@@ -144,48 +166,100 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                         entry[0] += 1
                         if own > entry[1]:
                             entry[1] = own
-        entries = np.empty(len(held), _ENTRY)
-        both = np.frombuffer(b"".join(held), ">u8").reshape(-1, 2)
-        entries["hi"], entries["lo"] = both[:, 0], both[:, 1]
-        entries["n"], entries["owner"] = [e[0] for e in held.values()], [e[1] for e in held.values()]
-        entries = entries[np.argsort(entries["hi"], kind="stable")]
-        shard = (entries["hi"] >> shift).astype(np.int64) if shards > 1 else np.zeros(len(entries), np.int64)
-        numbers, start = np.unique(shard, return_index=True)
-        ends = np.append(start[1:], len(entries))[: len(start)]
-        return pa.table({"block": pa.array([key[0].as_py()] * len(numbers), pa.int32()), "shard": pa.array(numbers.astype(np.int32)), "entries": pa.array([entries[a:b].tobytes() for a, b in zip(start, ends, strict=True)], pa.binary())})
-
-    def probe(key: tuple, rows: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(e, _ENTRY) for e in rows.column("entries").to_pylist()]
-        index = LineIndex(np.concatenate(lists))
-        found = []
-        for entries in lists:
-            repeated, owners = index.probe(entries["hi"], entries["lo"], min_docs)
-            out = np.empty(int(repeated.sum()), _REPEATED)
-            out["hi"], out["lo"], out["owner"] = entries["hi"][repeated], entries["lo"][repeated], owners[repeated]
-            found.append(out.tobytes())
-        return pa.table({"block": rows.column("block"), "repeated": pa.array(found, pa.binary())})
+        both = np.frombuffer(b"".join(held), ">u8").reshape(-1, 2).astype(np.uint64)
+        hi, lo = both[:, 0].copy(), both[:, 1].copy()
+        shard = (hi >> shift).astype(np.int32) if shards > 1 else np.zeros(len(hi), np.int32)
+        return pa.table({
+            "block": pa.array(np.full(len(hi), key[0].as_py(), np.int32)), "shard": pa.array(shard), "hi": pa.array(hi.view(np.int64)), "lo": pa.array(lo.view(np.int64)),
+            "n": pa.array([e[0] for e in held.values()], pa.int32()), "owner": pa.array([e[1] for e in held.values()], pa.int64()),
+        })
+
+    return df.groupBy(block).applyInArrow(collect, "block int, shard int, hi long, lo long, n int, owner long")
+
+
+def _hashes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return rows.column("hi").to_numpy().view(np.uint64), rows.column("lo").to_numpy().view(np.uint64)
+
+
+def _merged(lists: DataFrame) -> DataFrame:
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        index = LineIndex(*_hashes(rows), rows.column("n").to_numpy(), rows.column("owner").to_numpy())
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "index": pa.array([index.to_bytes()], pa.binary())})
+
+    return lists.groupBy("shard").applyInArrow(build, "shard int, index binary")
+
+
+def shards_for(df: DataFrame, bytes_each: int = SHARD_BYTES) -> int:
+    """A power of two of shards, so that each indexes the lines of about bytes_each of input."""
+    return 1 << (count_for(df, bytes_each, 32, 1 << 30) - 1).bit_length()
+
+
+def _blocks(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    block = unused_name(df, "block")
+    return df.withColumn(block, block_of(count_for(df, BLOCK_BYTES, 48, 1 << 30), id_col, text_col)), block
+
+
+def line_index(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
+    """shard and index (a LineIndex in bytes) of df's lines of min_chars code points or more; shards is a power of two.
+
+    Nulls, repeated rows and the key of a line: see dedup_lines(). An empty table gives no shards.
+    """
+    docs, block = _blocks(df, id_col, text_col)
+    return _merged(_lists(docs, id_col, text_col, min_chars, block, shards))
+
+
+def drop_repeated(df: DataFrame, index: DataFrame | None, shards: int, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """df without the lines that min_docs documents of the index have, but for those that its largest id has.
+
+    index is a line_index() with the same shards and min_chars, of df itself if None. Lines that it lacks stay.
+    Columns and odd rows: see dedup_lines().
+    """
+    if not 2 <= min_docs <= 255:
+        raise ValueError("min_docs: 2 to 255")
+    source = df.drop("n_lines", "n_dropped")
+    columns = source.columns
+    docs, block = _blocks(source, id_col, text_col)
+    lists = _lists(docs, id_col, text_col, min_chars, block, shards)
+
+    def probe(hashes: pa.Table, shard: pa.Table) -> pa.Table:
+        hi, lo = _hashes(hashes)
+        found, owners = np.zeros(len(hi), bool), np.zeros(len(hi), np.int64)
+        if len(hi) and shard.num_rows:
+            found, owners = LineIndex.from_bytes(shard.column("index")[0].as_py()).probe(hi, lo, min_docs)
+        return pa.table({"block": hashes.column("block").filter(pa.array(found)), "hi": pa.array(hi[found].view(np.int64)), "lo": pa.array(lo[found].view(np.int64)), "owner": pa.array(owners[found])})
 
     def rewrite(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        owner_of: dict[bytes, int] = {}
-        for data in answers.column("repeated").to_pylist():
-            found = np.frombuffer(data, _REPEATED)
-            both = np.stack([found["hi"], found["lo"]], 1).astype(">u8").tobytes()
-            owner_of.update((both[16 * i : 16 * i + 16], owner) for i, owner in enumerate(found["owner"].tolist()))
+        hi, lo = _hashes(answers)
+        both = np.stack([hi, lo], 1).astype(">u8").tobytes()
+        owner_of = {both[16 * i : 16 * i + 16]: owner for i, owner in enumerate(answers.column("owner").to_pylist())}
         texts, n_lines, n_dropped = [], [], []
         for doc_id, text in zip(rows.column(id_col).to_pylist(), rows.column(text_col).to_pylist(), strict=True):
             own = INT64_MIN if doc_id is None else doc_id
             lines = (text or "").split("\n")
-            kept = [line for line, k in zip(lines, keys_of(text), strict=True) if k is None or owner_of.get(k, own) == own]
+            kept = [line for line, k in zip(lines, _keys_of(text, min_chars), strict=True) if k is None or owner_of.get(k, own) == own]
             texts.append("\n".join(kept))
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(kept))
         out = {c: rows.column(c) for c in columns} | {text_col: pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
         return pa.table(out)
 
-    lists = docs.groupBy("__block").applyInArrow(collect, "block int, shard int, entries binary")
-    answers = lists.groupBy("shard").applyInArrow(probe, "block int, repeated binary")
-    schema = df.drop("n_lines", "n_dropped").schema.add("n_lines", "long").add("n_dropped", "long")
-    return docs.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(rewrite, schema)
+    built = _merged(lists) if index is None else index  # all columns of the lists go to both, so that one exchange serves them
+    answers = lists.groupBy("shard").cogroup(built.groupBy("shard")).applyInArrow(probe, "block int, hi long, lo long, owner long")
+    schema = StructType(list(source.schema.fields)).add("n_lines", "long").add("n_dropped", "long")
+    return docs.groupBy(block).cogroup(answers.groupBy("block")).applyInArrow(rewrite, schema)
+
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """df with text_col rewritten, n_lines (before) and n_dropped.
+
+    Lines are split at \\n; a key is the line stripped of ASCII white space and with A-Z lower-cased. Keys of
+    min_chars code points or more that min_docs (at most 255) rows hold lose all their lines except in the row
+    with the largest id among them; the others stay in order, joined by \\n. A null text is one empty line and
+    becomes an empty text. Rows that share the largest id all keep the line; a null id is below all others, and
+    if all holders' ids are null, all keep it. Every row counts as a document of its own, repeated ones too. Other
+    columns stay, except that columns called n_lines and n_dropped are replaced. An empty table gives an empty one.
+    """
+    return drop_repeated(df, None, shards_for(df), id_col, text_col, min_chars, min_docs)
 
 
 def line_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -526,3 +526,23 @@ def test_depth_costs_no_memory():
     assert tracemalloc.get_traced_memory()[1] < 100 << 20
     tracemalloc.stop()
     assert deep.wanted(set()) == ["in the deep", "after"] and len(nodes) < 600
+
+
+def test_line_index_tells_lines_that_it_lacks(spark):
+    """Other documents probe a stored index: lines that were not built in stay, whatever slot they fall into."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    hi, lo, other = (rng.integers(0, 2**63, 4000).astype(np.uint64) for _ in range(3))
+    n, owner = rng.integers(1, 400, 4000), rng.integers(0, 9999, 4000)
+    index = linededup.LineIndex.from_bytes(linededup.LineIndex(hi, lo, n, owner).to_bytes())
+    found, owners = index.probe(hi, lo, 3)
+    assert (found == (n >= 3)).all() and (owners == owner).all()
+    assert not index.probe(hi, other, 1)[0].any() and not index.probe(other, lo, 1)[0].any()
+
+    line = "a line of more than twenty characters, number {}"
+    built = spark.createDataFrame([(i, line.format(1) + "\n" + line.format(2 + i)) for i in range(5)], "doc_id long, text string")
+    new = spark.createDataFrame([(4, line.format(1), 1), (7, line.format(1) + "\n" + line.format(3) + "\n" + line.format(99), 2), (None, None, 3)], "doc_id long, text string, __block int")
+    out = linededup.drop_repeated(new, linededup.line_index(built, 8), 8)
+    assert out.columns == ["doc_id", "text", "__block", "n_lines", "n_dropped"]
+    assert {tuple(r) for r in out.collect()} == {(4, line.format(1), 1, 1, 0), (7, line.format(3) + "\n" + line.format(99), 2, 3, 1), (None, "", 3, 1, 0)}
