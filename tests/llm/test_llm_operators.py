@@ -79,8 +79,39 @@ def test_fertility_measures_and_bands(spark, docs):
         assert r.entropy == pytest.approx(-sum(x * math.log2(x) for x in p))
         assert r.chars_per_token == pytest.approx(r.word_chars / len(ids))
         assert r.byte_share == pytest.approx(sum(map(sp.is_byte, ids)) / len(ids))
-    limits = {(b["key"], b["size"]): b for b in fertility.bands(measured, least_rows=5).collect()}
-    assert limits and all(b["lo_entropy"] < b["hi_entropy"] for b in limits.values())
+    limits = {(b["of"], b["length"]): b for b in fertility.bands(measured, least_rows=5).collect()}
+    assert ("all", -1) in limits and all(b["lo_entropy"] < b["hi_entropy"] for b in limits.values())
+
+
+@pytest.mark.parametrize("table", ["docs", "odd"])
+def test_every_row_is_held_against_a_band(table, request):
+    """kept, from exact quartiles in plain Python; rows of rare languages and lengths are judged too."""
+    df = request.getfixturevalue(table)
+    path = P.path("piece_bpe_32k.model")
+    rows = fertility.measure(df, path).collect()
+    levels = lambda r: [(a, b) for b in (r["size"], -1) for a in (r.key, r.script, "all")]
+    groups = defaultdict(list)
+    for r in rows:
+        for i, g in enumerate(levels(r) if r.n_tokens else []):
+            groups[i, g].append(r)
+    want = Counter()
+    for r in rows:
+        failed = r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words
+        kept = not failed
+        if r.n_tokens:
+            group = next(groups[i, g] for i, g in enumerate(levels(r)) if len(groups[i, g]) >= 40 or i == 5)
+            for m, least in fertility.LEAST_WIDTH.items():
+                values = sorted(x[m] for x in group)
+                low, high = (values[math.ceil(p * len(values)) - 1] for p in (0.25, 0.75))
+                width = max(3 * (high - low), least)
+                kept = kept and low - width <= r[m] <= high + width
+        want[r.id, kept] += 1
+    assert Counter((r.doc_id, r.kept) for r in fertility.judge(df, path).collect()) == want
+
+
+def test_scripts():
+    for text, want in [("", "none"), ("12 !", "none"), ("aé", "latin"), ("aЖ", "latin"), ("aЖж", "cyrillic"), ("日本語テスト", "kana"), ("日本語", "han"), ("한국어 ok", "hangul"), ("x" * 70_000 + "Ж", "latin")]:
+        assert fertility.script(text) == want, text
 
 
 def test_noise_falls_out_of_its_band(spark):
