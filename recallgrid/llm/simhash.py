@@ -13,22 +13,37 @@ its shared bits alone differ in more than the limit.
 
 A range returns, for each fingerprint with a link, one representative of its component there: never all pairs.
 The representatives are joined to components by alternating star contractions, each written to the shared folder.
+
+similar_groups() finds edited copies: texts whose sets of shingles have a Jaccard similarity of 0.8, say. Their
+fingerprints differ in so many bits that no index can look for all of them. So texts get TABLES fingerprints of
+independent bits, each with its Gray-order index. A group of neighbours is dropped when its shared bits differ in
+more than such texts' do at that depth in most cases (the accumulated differences against a binomial quantile), and the tables
+make up for what one of them misses. What is found is checked exactly, on the sets of shingles. Of a dense group of
+copies each text proposes its nearest and its most central neighbour in a range; only pairs that are then still in different
+components are proposed in full.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm.common import words_of, write_shared
+from recallgrid.llm.common import freeing, texts_of, unused_name, words_of, write_shared
 
-MOST_RANGES = 4096
+MOST_RANGES = 1 << 16
 RANGE_SIZE = 2048
+#: For similar texts: fingerprints of a text, codes in a range, and the share of similar pairs that one index's upper
+#: nodes let through, and the last comparison.
+TABLES = 6
+SIMILAR_RANGE = 1024
+PASS_UPPER, PASS_CODE, PASS_ALL = 0.6, 0.97, 0.998
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _TOP = np.uint64(1 << 63)
 
@@ -41,24 +56,32 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def simhash(text: str, shingle: int = 3, seed: int = 42) -> int:
-    """64 bits: set where over half of the shingles' XXH64 have the bit set, repeats included. No words: 0."""
+def shingle_hashes(text: str, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle of words, lower-cased (A-Z) and joined by spaces; fewer words than a shingle are one; no words none."""
     words = words_of(text)
     if not words:
-        return 0
+        return np.array([], np.uint64)
     words = [w.lower() for w in words]  # A-Z only, as these are bytes
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = np.array([digest(joined, seed)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[: 1 - shingle].tolist() if shingle > 1 else starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(words) - shingle + 1)
+        return np.array([digest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[: 1 - shingle].tolist() if shingle > 1 else starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(words) - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that over half of the hashes have; none without hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
         ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+
+
+def simhash(text: str, shingle: int = 3, seed: int = 42) -> int:
+    """64 bits: set where over half of the shingles' XXH64 have the bit set, repeats included. No words: 0."""
+    return int(majority(shingle_hashes(text, shingle, seed)))
 
 
 class GrayIndex:
@@ -84,23 +107,30 @@ class GrayIndex:
             self.levels.append((pattern & own, own))
         self.levels.reverse()
 
-    def search(self, queries: np.ndarray, most: int, chunk: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (number of the query, number of the leaf), chunk by chunk of queries."""
+    def search(self, queries: np.ndarray, most: int | np.ndarray, chunk: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (number of the query, number of the leaf), chunk by chunk of queries.
+
+        most: the differences allowed, or, as an array, those allowed after so many bits have been compared.
+        """
         for begin in range(0, len(queries), chunk):
             part = queries[begin : begin + chunk]
             top = len(self.levels[0][0])
             query, node = np.repeat(np.arange(len(part)), top), np.tile(np.arange(top), len(part))
-            met = np.zeros(len(query), np.uint8)
+            met, compared = np.zeros(len(query), np.uint8), np.zeros(len(query), np.uint8)
             for depth, (pattern, mask) in enumerate(self.levels):
                 if depth:
                     size = len(pattern)
-                    query, met = np.repeat(query, self.FAN_OUT), np.repeat(met, self.FAN_OUT)
+                    query, met, compared = (np.repeat(x, self.FAN_OUT) for x in (query, met, compared))
                     node = (node[:, None] * self.FAN_OUT + np.arange(self.FAN_OUT)).ravel()
                     inside = node < size
-                    query, met, node = query[inside], met[inside], node[inside]
+                    query, met, compared, node = query[inside], met[inside], compared[inside], node[inside]
                 met = met + np.bitwise_count((part[query] & mask[node]) ^ pattern[node])
-                near = met <= most
-                query, node, met = query[near], node[near], met[near]
+                if isinstance(most, np.ndarray):
+                    compared = compared + np.bitwise_count(mask[node])
+                    near = met <= most[compared]
+                else:
+                    near = met <= most
+                query, node, met, compared = query[near], node[near], met[near], compared[near]
             yield query + begin, self.order[node]
 
 
@@ -133,6 +163,11 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, fp long, rank long")
 
 
+def _accuracy(n_ranges: int) -> int:
+    """Of the quantiles that cut ranges: a hundredth of a range, for very many ranges a sixteenth."""
+    return max(10_000, min(1_000_000, 100 * n_ranges), 16 * n_ranges)
+
+
 def links(codes: DataFrame, most_bits: int = 2, range_size: int = RANGE_SIZE) -> DataFrame:
     """From distinct codes (fp, rank): rows (a, b), a different from b, that connect all codes within most_bits of each other.
 
@@ -143,7 +178,7 @@ def links(codes: DataFrame, most_bits: int = 2, range_size: int = RANGE_SIZE) ->
     cuts = np.array([], np.int64)
     if n_ranges > 1:
         at = [i / n_ranges for i in range(1, n_ranges)]
-        found = codes.agg(F.percentile_approx("rank", F.array(*[F.lit(x) for x in at]), F.lit(min(1_000_000, 100 * n_ranges))).alias("cuts")).first()
+        found = codes.agg(F.percentile_approx("rank", F.array(*[F.lit(x) for x in at]), F.lit(_accuracy(n_ranges))).alias("cuts")).first()
         cuts = np.unique(np.array(found["cuts"], np.int64))
 
     def own_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +263,207 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
     A row that stands there several times stays once. Rows with a null id can't be told apart and all stay.
     """
-    found = near_duplicates(df, id_col, text_col, shingle, most_bits, seed)
-    keep = found.where(F.col(f"`{id_col}`") == F.col("component_id")).select(F.col(f"`{id_col}`").alias("__keep"))
-    named = df.join(keep, F.col(f"`{id_col}`") == F.col("__keep"), "left_semi").dropDuplicates([id_col])
+    return _keep_first(df, near_duplicates(df, id_col, text_col, shingle, most_bits, seed), id_col)
+
+
+def _keep_first(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    own = unused_name(df, "keep")
+    keep = found.where(F.col(f"`{id_col}`") == F.col("component_id")).select(F.col(f"`{id_col}`").alias(own)).distinct()
+    named = df.join(keep, F.col(f"`{id_col}`") == F.col(own), "left_semi").dropDuplicates([id_col])
     return named.union(df.where(F.col(f"`{id_col}`").isNull()))
+
+
+def allowed(bits: int, differ: float, share: float) -> int:
+    """How many of `bits` bits may differ so that pairs with a chance `differ` for each bit pass in `share` of all cases."""
+    total, d = (1 - differ) ** bits, 0
+    while total < share and d < bits:
+        d += 1
+        total += math.comb(bits, d) * differ**d * (1 - differ) ** (bits - d)
+    return d
+
+
+def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """id, node (a digest of the text's set of shingles), r0 to r5: the Gray ranks of its fingerprints, ordered as longs."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                nodes, codes = [], []
+                for text in texts_of(part.column(1)):
+                    hashes = np.unique(shingle_hashes(text, shingle, seed))
+                    nodes.append(_node_of(hashes))
+                    codes.append([majority(_mixed(hashes, t)) for t in range(TABLES)])
+                ranks = (gray_rank(np.array(codes, np.uint64).reshape(-1, TABLES)) ^ _TOP).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), *(pa.array(ranks[:, t].copy()) for t in range(TABLES))], ["id", "node", *_RANKS])
+
+    return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(freeing(run), f"id {kind}, node long, " + ", ".join(f"{r} long" for r in _RANKS))
+
+
+_RANKS = [f"r{t}" for t in range(TABLES)]
+
+
+def _node_of(hashes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def _mixed(hashes: np.ndarray, table: int) -> np.ndarray:
+    """Other bits for each table: the hashes themselves for the first."""
+    if not table:
+        return hashes
+    x = hashes + np.uint64((table * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """node and set (array<long>) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                sets = [np.unique(shingle_hashes(t, shingle, seed)) for t in texts_of(batch.column(0).slice(start, 256))]
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([_node_of(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "set"])
+
+    return df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(freeing(run), "node long, set array<long>")
+
+
+def proposals(classes: DataFrame, differ: float, all_pairs: bool, range_size: int = SIMILAR_RANGE) -> DataFrame:
+    """Distinct pairs (a, b), a less than b, of nodes of classes (node, r0 to r5, comp) that may be similar.
+
+    differ: the chance of a bit to differ between fingerprints of texts that are just similar. With all_pairs every
+    pair of different comp that the indexes meet; else, for each node in each range, its nearest and its most central neighbour.
+    """
+    n_ranges = max(1, min(MOST_RANGES, -(-classes.count() // range_size)))
+    cuts = [np.array([], np.int64)] * TABLES
+    if n_ranges > 1:
+        at = F.array(*[F.lit(i / n_ranges) for i in range(1, n_ranges)])
+        found = classes.agg(*[F.percentile_approx(r, at, F.lit(_accuracy(n_ranges))).alias(r) for r in _RANKS]).first()
+        cuts = [np.unique(np.array(found[r], np.int64)) for r in _RANKS]
+    upper_limits = np.array([allowed(b, differ, PASS_UPPER) for b in range(65)], np.uint8)
+    code_limit = allowed(64, differ, PASS_CODE)
+
+    def coded(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for t in range(TABLES):
+            ranks = batch.column(1 + t).to_numpy()
+            raw = ranks.view(np.uint64) ^ _TOP
+            yield t, raw ^ (raw >> np.uint64(1)), np.searchsorted(cuts[t], ranks).astype(np.int64)
+
+    def own_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, codes, own in coded(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), pa.array(own), pa.array(codes.view(np.int64))], ["t", "range", "code"])
+
+    source = classes.select("node", *_RANKS, "comp")
+    # One row for each of at most MOST_RANGES ranges of a table: the bits on which all its codes agree.
+    nodes = source.mapInArrow(own_ranges, "t int, range long, code long").groupBy("t", "range").agg(F.bit_and("code").alias("all"), F.bit_or("code").alias("any")).toArrow()
+    upper: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for t in range(TABLES):
+        mine = nodes.filter(pc.equal(nodes.column("t"), t))
+        every, some = (mine.column(k).to_numpy().view(np.uint64) for k in ("all", "any"))
+        upper.append((mine.column("range").to_numpy(), every, ~(every ^ some)))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = [GrayIndex(every & masks, masks) if len(every) else None for _, every, masks in upper]
+        names = ["t", "range", "node", "code", "comp", "visitor"]
+        for batch in batches:
+            node, comp = batch.column(0), batch.column(1 + TABLES)
+            for t, codes, own in coded(batch):
+                numbers = upper[t][0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), pa.array(own), node, pa.array(codes.view(np.int64)), comp, pa.array(np.zeros(len(own), bool))], names)
+                for query, leaf in trees[t].search(codes, upper_limits):
+                    to, at = numbers[leaf], own[query]
+                    goes = (to != at) & ((at < to) == ((at + to) % 2 == 1))  # one direction for each pair of ranges
+                    q = query[goes]
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), t, np.int32)), pa.array(to[goes]), node.take(pa.array(q)), pa.array(codes[q].view(np.int64)), comp.take(pa.array(q)), pa.array(np.ones(len(q), bool))], names)
+
+    def search(rows: pa.Table) -> pa.Table:
+        visitor = rows.column("visitor").to_numpy(zero_copy_only=False)
+        order = np.argsort(visitor, kind="stable")
+        node, code, comp = (rows.column(c).to_numpy()[order] for c in ("node", "code", "comp"))
+        code, size = code.view(np.uint64), int((~visitor).sum())
+        degree, near, found = np.zeros(size, np.int64), [], []
+        step = max(1, (1 << 22) // max(1, size))
+        for begin in range(0, len(code) if size else 0, step):
+            apart = np.bitwise_count(code[begin : begin + step, None] ^ code[None, :size])
+            here = np.arange(begin, min(begin + step, size))
+            apart[here - begin, here] = 255
+            if all_pairs:
+                q, m = np.nonzero(apart <= code_limit)
+                q += begin
+                other = (comp[q] != comp[m]) & ((q >= size) | (q < m))
+                found.append((q[other], m[other]))
+            else:
+                close = apart <= code_limit
+                q = np.flatnonzero(close.any(1))
+                found.append((q + begin, apart[q].argmin(1)))
+                degree += close.sum(0)
+                near.append((q + begin, close[q]))
+        for q, close in near:
+            if len(q):
+                found.append((q, np.where(close, degree, -1).argmax(1)))
+        q, m = (np.concatenate([f[i] for f in found]) if found else np.array([], np.int64) for i in range(2))
+        a, b = np.minimum(node[q], node[m]), np.maximum(node[q], node[m])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    ranged = source.mapInArrow(route, "t int, range long, node long, code long, comp long, visitor boolean")
+    return ranged.groupBy("t", "range").applyInArrow(search, "a long, b long").where("a < b").distinct()
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42, range_size: int = SIMILAR_RANGE) -> DataFrame:
+    """For each row of df with an id: id_col and component_id, the smallest id of its group.
+
+    Rows with equal sets of shingles are copies. Texts whose sets have a Jaccard similarity of `similarity` or more are
+    linked, and links chain. Every link that is made has been checked on the sets; of the links that there are, the
+    indexes find those that README.md states (a pair that is just similar is missed by each of TABLES indexes with
+    a chance of about 0.4; more similar ones by far less). A text of fewer words than a shingle is one shingle; texts
+    without words are copies of each other. Rows with a null id are left out; repeated rows and ids give a row each. Columns of
+    df besides the two aren't carried over. An empty table gives none.
+    """
+    rows = write_shared(signatures(df.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, shingle, seed), "signatures")
+    classes = write_shared(rows.groupBy("node").agg(F.min("id").alias("least"), *[F.min(r).alias(r) for r in _RANKS]), "classes")
+    alike = 2 * similarity / (1 + similarity)  # the cosine of two sets of equal size
+    differ = math.acos(alike) / math.pi
+    most = allowed(64 * TABLES, differ, PASS_ALL)
+    stars = None
+    for all_pairs in (False, True):
+        if stars is None:
+            labelled = classes.withColumn("comp", F.col("node"))
+        else:
+            labelled = classes.join(stars.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        pairs = write_shared(proposals(labelled, differ, all_pairs, range_size), "proposals")
+        new = _checked(df, pairs, classes, id_col, text_col, shingle, seed, similarity, most)
+        stars = star_components(new if stars is None else new.union(stars.select(F.col("node").alias("a"), F.col("root").alias("b"))), "similar")
+    joint = classes.join(stars, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = joint.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = joint.join(least, "root").select(F.col("node").alias("own"), "component_id")
+    return rows.join(labels, F.col("node") == F.col("own")).select(F.col("id").alias(id_col), "component_id")
+
+
+def _checked(df: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, similarity: float, most: int) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are similar: first by all fingerprints, then exactly."""
+    # Gray codes' differences are the Gray code of the ranks' differences.
+    x = [F.col(f"a{r}").bitwiseXOR(F.col(f"b{r}")) for r in _RANKS]
+    apart = sum((F.bit_count(d.bitwiseXOR(F.shiftrightunsigned(d, 1))) for d in x), F.lit(0))
+    ends = [classes.select(F.col("node").alias(e), *[F.col(r).alias(f"{e}{r}") for r in _RANKS]) for e in "ab"]
+    close = write_shared(pairs.join(ends[0], "a").join(ends[1], "b").where(apart <= most).select("a", "b"), "close")
+    needed = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
+    ids = classes.join(needed, "node", "left_semi").select(F.col("least").alias("__least"))
+    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(ids, F.col("id") == F.col("__least"), "left_semi")
+    sets = write_shared(shingle_sets(texts, "id", "text", shingle, seed).join(needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    a, b = (sets.select(F.col("node").alias(e), F.col("set").alias(f"set_{e}")) for e in "ab")
+    both = close.join(a, "a").join(b, "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared) - 1e-9).select("a", "b")
+
+
+def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """df with one row of each group of similar_groups(): the one with the smallest id, with all its columns.
+
+    A row that stands there several times stays once. Rows with a null id can't be told apart and all stay.
+    """
+    return _keep_first(df, similar_groups(df, id_col, text_col, shingle, similarity, seed), id_col)

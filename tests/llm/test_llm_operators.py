@@ -201,6 +201,74 @@ def test_keep_one(odd):
     assert ids.count(None) == 2 and 5 in ids and ids.count(5) == 1 and 0 in ids and 1 not in ids and 100 not in ids
 
 
+def similar(texts, shingle=5, similarity=0.8):
+    """Each id's smallest id reachable over pairs of texts whose sets of shingles are equal or similar enough."""
+    sets = {}
+    for d, t in texts.items():
+        w = [x.encode().lower().decode() for x in words(t)]
+        sets[d] = {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+    holders, root = defaultdict(list), {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for d in sorted(sets):
+        for other in {x for s in sets[d] for x in holders[s]} | ({x for x in sets if not sets[x]} if not sets[d] else set()):
+            shared, union = len(sets[d] & sets[other]), len(sets[d] | sets[other])
+            if shared >= similarity * union - 1e-9:
+                a, b = top(d), top(other)
+                root[max(a, b)] = min(a, b)
+        for s in sets[d]:
+            holders[s].append(d)
+    return {d: top(d) for d in sets}
+
+
+@pytest.mark.parametrize("range_size", [simhash.SIMILAR_RANGE, 32])
+def test_similar_groups(spark, docs, range_size):
+    """Edited copies at similarities around the limit, a dense family of them, copies, and the synthetic documents."""
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = {d: t for d, t in map(tuple, rows_of(docs))}
+
+    def put(w):
+        texts[10_000 + len(texts)] = " ".join(w)
+
+    for n, edits in [(60, 1), (120, 1), (120, 2), (300, 4), (300, 6), (300, 8), (20, 1), (4, 0), (1, 0)]:
+        for _ in range(4):
+            base = [r.choice(vocabulary) for _ in range(n)]
+            put(base)
+            put([x.upper() for x in base])
+            for _ in range(2):
+                own = list(base)
+                for _ in range(edits):
+                    own[r.randrange(n)] = f"edit{r.random()}"
+                put(own)
+    base = [r.choice(vocabulary) for _ in range(200)]
+    for _ in range(150):
+        own = list(base)
+        for _ in range(3):
+            own[r.randrange(200)] = f"edit{r.random()}"
+        put(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(df, range_size=range_size).collect()}
+    want = similar(texts)
+    pairs = lambda m: sum(m[d] != d for d in m)
+    assert got.keys() == want.keys() and all(want[d] == want[c] for d, c in got.items())  # nothing is joined that isn't similar
+    assert pairs(got) >= 0.99 * pairs(want) > 150
+    if range_size == simhash.SIMILAR_RANGE:
+        assert got == want
+
+
+def test_keep_one_similar(spark, odd, none):
+    rows = simhash.keep_one_similar(odd).collect()
+    want = similar({d: t for d, t in rows_of(odd) if d is not None})
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted(set(want.values()))
+    assert sum(r.doc_id is None for r in rows) == 2 and set(rows[0].asDict()) == set(odd.columns)
+    assert simhash.keep_one_similar(none).count() == 0
+
+
 # 4
 
 

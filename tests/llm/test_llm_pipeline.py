@@ -1,13 +1,12 @@
 """The corpus pipeline, stage by stage, against brute force on a small table and on awkward rows."""
 
 import hashlib
-from collections import defaultdict
 
 import corpus_pipeline
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
-from test_llm_operators import deduplicated, fingerprint, hits, library, reach  # noqa: F401  library is a fixture
+from test_llm_operators import deduplicated, hits, library, similar  # noqa: F401  library is a fixture
 
 from recallgrid.llm import quality
 
@@ -33,11 +32,7 @@ def test_stages(spark, sf, library):  # noqa: F811
 
     single = stages[2](spark, lines, sf)
     assert single.columns == columns
-    codes = {d: fingerprint(t) for d, t in rows.items()}
-    root, groups = reach(set(codes.values())), defaultdict(list)
-    for d, c in codes.items():
-        groups[root[c]].append(d)
-    kept = {min(g) for g in groups.values()}
+    kept = set(similar(rows).values())
     assert sorted(r.doc_id for r in single.collect()) == sorted(kept)
 
     clean = stages[3](spark, single, sf)
