@@ -30,8 +30,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates (sets of five-word shingles 0.8 similar or more): the one with the smallest id."""
+    return simhash.keep_one_similar(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
