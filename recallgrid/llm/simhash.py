@@ -18,9 +18,9 @@ similar_groups() finds edited copies: texts whose sets of shingles have a Jaccar
 fingerprints differ in so many bits that no index can look for all of them. So texts get TABLES fingerprints of
 independent bits, each with its Gray-order index. A group of neighbours is dropped when its shared bits differ in
 more than such texts' do at that depth in most cases (the accumulated differences against a binomial quantile), and the tables
-make up for what one of them misses. What is found is checked exactly, on the sets of shingles. Of a dense group of
-copies each text proposes its nearest and its most central neighbour in a range; only pairs that are then still in different
-components are proposed in full.
+make up for what one of them misses. Each text proposes its nearest neighbour in a range, never all of a dense group, and
+what is proposed is checked exactly, on the sets of shingles. Where that leaves texts with neighbours in different
+components, an exact join by the rarest shingles tells whether a pair among these texts links them after all.
 """
 
 from __future__ import annotations
@@ -301,7 +301,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, seed: in
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(freeing(run), f"id {kind}, node long, " + ", ".join(f"{r} long" for r in _RANKS))
 
 
-_RANKS = [f"r{t}" for t in range(TABLES)]
+_RANKS, _CODES = ([f"{x}{t}" for t in range(TABLES)] for x in "rc")
 
 
 def _node_of(hashes: np.ndarray) -> int:
@@ -331,11 +331,11 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, seed:
     return df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(freeing(run), "node long, set array<long>")
 
 
-def proposals(classes: DataFrame, differ: float, all_pairs: bool, range_size: int = SIMILAR_RANGE) -> DataFrame:
-    """Distinct pairs (a, b), a less than b, of nodes of classes (node, r0 to r5, comp) that may be similar.
+def proposals(classes: DataFrame, differ: float, range_size: int = SIMILAR_RANGE) -> DataFrame:
+    """Distinct pairs (a, b), a less than b, of nodes of classes (node, r0 to r5): for each node in each range its nearest.
 
-    differ: the chance of a bit to differ between fingerprints of texts that are just similar. With all_pairs every
-    pair of different comp that the indexes meet; else, for each node in each range, its nearest and its most central neighbour.
+    differ: the chance of a bit to differ between fingerprints of texts that are just similar. A node that has any
+    neighbour that may be similar is in one pair at least.
     """
     n_ranges = max(1, min(MOST_RANGES, -(-classes.count() // range_size)))
     cuts = [np.array([], np.int64)] * TABLES
@@ -344,20 +344,21 @@ def proposals(classes: DataFrame, differ: float, all_pairs: bool, range_size: in
         found = classes.agg(*[F.percentile_approx(r, at, F.lit(_accuracy(n_ranges))).alias(r) for r in _RANKS]).first()
         cuts = [np.unique(np.array(found[r], np.int64)) for r in _RANKS]
     upper_limits = np.array([allowed(b, differ, PASS_UPPER) for b in range(65)], np.uint8)
-    code_limit = allowed(64, differ, PASS_CODE)
+    code_limit, most = allowed(64, differ, PASS_CODE), allowed(64 * TABLES, differ, PASS_ALL)
 
-    def coded(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for t in range(TABLES):
-            ranks = batch.column(1 + t).to_numpy()
-            raw = ranks.view(np.uint64) ^ _TOP
-            yield t, raw ^ (raw >> np.uint64(1)), np.searchsorted(cuts[t], ranks).astype(np.int64)
+    def coded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' codes and their ranges, both by table."""
+        ranks = np.stack([batch.column(1 + t).to_numpy() for t in range(TABLES)])
+        raw = ranks.view(np.uint64) ^ _TOP
+        return raw ^ (raw >> np.uint64(1)), np.stack([np.searchsorted(cuts[t], ranks[t]) for t in range(TABLES)]).astype(np.int64)
 
     def own_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, codes, own in coded(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), pa.array(own), pa.array(codes.view(np.int64))], ["t", "range", "code"])
+            codes, own = coded(batch)
+            for t in range(TABLES):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own[t]), t, np.int32)), pa.array(own[t]), pa.array(codes[t].view(np.int64))], ["t", "range", "code"])
 
-    source = classes.select("node", *_RANKS, "comp")
+    source = classes.select("node", *_RANKS)
     # One row for each of at most MOST_RANGES ranges of a table: the bits on which all its codes agree.
     nodes = source.mapInArrow(own_ranges, "t int, range long, code long").groupBy("t", "range").agg(F.bit_and("code").alias("all"), F.bit_or("code").alias("any")).toArrow()
     upper: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -368,49 +369,49 @@ def proposals(classes: DataFrame, differ: float, all_pairs: bool, range_size: in
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = [GrayIndex(every & masks, masks) if len(every) else None for _, every, masks in upper]
-        names = ["t", "range", "node", "code", "comp", "visitor"]
+
+        def rows(t: int, ranges: np.ndarray, which: np.ndarray, codes: np.ndarray, batch: pa.RecordBatch, visitor: bool) -> pa.RecordBatch:
+            words = [pa.array(codes[k][which].view(np.int64)) for k in range(TABLES)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(which), t, np.int32)), pa.array(ranges), batch.column(0).take(pa.array(which)), *words, pa.array(np.full(len(which), visitor))], ["t", "range", "node", *_CODES, "visitor"])
+
         for batch in batches:
-            node, comp = batch.column(0), batch.column(1 + TABLES)
-            for t, codes, own in coded(batch):
+            codes, own = coded(batch)
+            for t in range(TABLES):
                 numbers = upper[t][0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), pa.array(own), node, pa.array(codes.view(np.int64)), comp, pa.array(np.zeros(len(own), bool))], names)
-                for query, leaf in trees[t].search(codes, upper_limits):
-                    to, at = numbers[leaf], own[query]
+                yield rows(t, own[t], np.arange(batch.num_rows), codes, batch, False)
+                for query, leaf in trees[t].search(codes[t], upper_limits):
+                    to, at = numbers[leaf], own[t][query]
                     goes = (to != at) & ((at < to) == ((at + to) % 2 == 1))  # one direction for each pair of ranges
-                    q = query[goes]
-                    if len(q):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), t, np.int32)), pa.array(to[goes]), node.take(pa.array(q)), pa.array(codes[q].view(np.int64)), comp.take(pa.array(q)), pa.array(np.ones(len(q), bool))], names)
+                    if goes.any():
+                        yield rows(t, to[goes], query[goes], codes, batch, True)
 
     def search(rows: pa.Table) -> pa.Table:
         visitor = rows.column("visitor").to_numpy(zero_copy_only=False)
         order = np.argsort(visitor, kind="stable")
-        node, code, comp = (rows.column(c).to_numpy()[order] for c in ("node", "code", "comp"))
-        code, size = code.view(np.uint64), int((~visitor).sum())
-        degree, near, found = np.zeros(size, np.int64), [], []
+        node = rows.column("node").to_numpy()[order]
+        codes = np.stack([rows.column(c).to_numpy()[order].view(np.uint64) for c in _CODES])
+        size, found = int((~visitor).sum()), []
+        own = codes[rows.column("t")[0].as_py()]
         step = max(1, (1 << 22) // max(1, size))
-        for begin in range(0, len(code) if size else 0, step):
-            apart = np.bitwise_count(code[begin : begin + step, None] ^ code[None, :size])
-            here = np.arange(begin, min(begin + step, size))
-            apart[here - begin, here] = 255
-            if all_pairs:
-                q, m = np.nonzero(apart <= code_limit)
-                q += begin
-                other = (comp[q] != comp[m]) & ((q >= size) | (q < m))
-                found.append((q[other], m[other]))
-            else:
-                close = apart <= code_limit
-                q = np.flatnonzero(close.any(1))
-                found.append((q + begin, apart[q].argmin(1)))
-                degree += close.sum(0)
-                near.append((q + begin, close[q]))
-        for q, close in near:
-            if len(q):
-                found.append((q, np.where(close, degree, -1).argmax(1)))
+        for begin in range(0, len(node) if size else 0, step):
+            q, m = np.nonzero(np.bitwise_count(own[begin : begin + step, None] ^ own[None, :size]) <= code_limit)
+            q += begin
+            q, m = q[q != m], m[q != m]
+            apart = np.zeros(len(q), np.int64)
+            for words in codes:
+                apart += np.bitwise_count(words[q] ^ words[m])
+            near = apart <= most
+            q, m, apart = q[near], m[near], apart[near]
+            if len(q):  # the nearest for each
+                first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+                m = np.minimum.reduceat(apart << 32 | m, first) & 0xFFFFFFFF
+                q = q[first]
+            found.append((q, m))
         q, m = (np.concatenate([f[i] for f in found]) if found else np.array([], np.int64) for i in range(2))
         a, b = np.minimum(node[q], node[m]), np.maximum(node[q], node[m])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    ranged = source.mapInArrow(route, "t int, range long, node long, code long, comp long, visitor boolean")
+    ranged = source.mapInArrow(route, "t int, range long, node long, " + ", ".join(f"{c} long" for c in _CODES) + ", visitor boolean")
     return ranged.groupBy("t", "range").applyInArrow(search, "a long, b long").where("a < b").distinct()
 
 
@@ -426,39 +427,50 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = write_shared(signatures(df.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, shingle, seed), "signatures")
     classes = write_shared(rows.groupBy("node").agg(F.min("id").alias("least"), *[F.min(r).alias(r) for r in _RANKS]), "classes")
-    alike = 2 * similarity / (1 + similarity)  # the cosine of two sets of equal size
-    differ = math.acos(alike) / math.pi
-    most = allowed(64 * TABLES, differ, PASS_ALL)
-    stars = None
-    for all_pairs in (False, True):
-        if stars is None:
-            labelled = classes.withColumn("comp", F.col("node"))
-        else:
-            labelled = classes.join(stars.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        pairs = write_shared(proposals(labelled, differ, all_pairs, range_size), "proposals")
-        new = _checked(df, pairs, classes, id_col, text_col, shingle, seed, similarity, most)
-        stars = star_components(new if stars is None else new.union(stars.select(F.col("node").alias("a"), F.col("root").alias("b"))), "similar")
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi  # from the cosine of two sets of equal size
+    pairs = write_shared(proposals(classes, differ, range_size), "proposals")
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ids = classes.join(needed, "node", "left_semi").select(F.col("least").alias("__least"))
+    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(ids, F.col("id") == F.col("__least"), "left_semi")
+    sets = write_shared(shingle_sets(texts, "id", "text", shingle, seed).join(needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    near = star_components(alike(pairs, sets, similarity), "near")
+    open_sets = sets.join(near, "node", "left").join(classes, "node").select("node", "set", F.coalesce("root", "node").alias("comp"), *_RANKS)
+    both = write_shared(rare_pairs(open_sets, similarity, allowed(64 * TABLES, differ, PASS_ALL)), "rare")
+    stars = star_components(alike(both, sets, similarity).union(near.select(F.col("node").alias("a"), F.col("root").alias("b"))), "similar")
     joint = classes.join(stars, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = joint.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = joint.join(least, "root").select(F.col("node").alias("own"), "component_id")
     return rows.join(labels, F.col("node") == F.col("own")).select(F.col("id").alias(id_col), "component_id")
 
 
-def _checked(df: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, similarity: float, most: int) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles are similar: first by all fingerprints, then exactly."""
-    # Gray codes' differences are the Gray code of the ranks' differences.
-    x = [F.col(f"a{r}").bitwiseXOR(F.col(f"b{r}")) for r in _RANKS]
-    apart = sum((F.bit_count(d.bitwiseXOR(F.shiftrightunsigned(d, 1))) for d in x), F.lit(0))
-    ends = [classes.select(F.col("node").alias(e), *[F.col(r).alias(f"{e}{r}") for r in _RANKS]) for e in "ab"]
-    close = write_shared(pairs.join(ends[0], "a").join(ends[1], "b").where(apart <= most).select("a", "b"), "close")
-    needed = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-    ids = classes.join(needed, "node", "left_semi").select(F.col("least").alias("__least"))
-    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(ids, F.col("id") == F.col("__least"), "left_semi")
-    sets = write_shared(shingle_sets(texts, "id", "text", shingle, seed).join(needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets (node, set) are similar."""
     a, b = (sets.select(F.col("node").alias(e), F.col("set").alias(f"set_{e}")) for e in "ab")
-    both = close.join(a, "a").join(b, "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared) - 1e-9).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared) - 1e-9).select("a", "b")
+
+
+def rare_pairs(sets: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of sets (node, set, comp, r0 to r5) in different components that can be similar.
+
+    Sets as similar as that share an element among the first n - ceil(similarity * n) + 1 of each, in any common order;
+    the order here is from the rarest to the commonest, and what stands before a pair's first common element can't be
+    common, nor may the fingerprints r0 to r5 differ in more than `most` bits. Elements that only one component has aren't paired.
+    """
+    each = sets.select("node", "comp", F.size("set").alias("n"), F.explode("set").alias("x"))
+    held = each.groupBy("x").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    first = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1
+    order = F.sort_array(F.collect_list(F.struct("df", "x", (F.col("low") < F.col("high")).alias("mixed"))))
+    ordered = each.join(held, "x").groupBy("node", "comp", "n").agg(order.alias("xs"))
+    rare = ordered.select("node", "comp", "n", F.posexplode(F.slice("xs", F.lit(1), first)).alias("before", "s")).where("s.mixed")
+    rare = write_shared(rare.select("node", "comp", "n", "before", "s.x").join(sets.select("node", *_RANKS), "node"), "elements")
+    a, b = (rare.select("x", *[F.col(c).alias(f"{c}_{e}") for c in ("node", "comp", "n", "before", *_RANKS)]) for e in "ab")
+    rest = F.least(F.col("n_a") - F.col("before_a"), F.col("n_b") - F.col("before_b"))
+    fit = rest >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    # Gray codes' differences are the Gray code of the ranks' differences.
+    differ = [F.col(f"{r}_a").bitwiseXOR(F.col(f"{r}_b")) for r in _RANKS]
+    apart = sum((F.bit_count(d.bitwiseXOR(F.shiftrightunsigned(d, 1))) for d in differ), F.lit(0))
+    return a.join(b, (a["x"] == b["x"]) & (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & fit & (apart <= most)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
