@@ -29,11 +29,11 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from recallgrid.llm.common import freeing, texts_of
 
-#: Limits of the caches in a Python worker. They bound memory, not results: some 120 MB, which end with the task.
-MOST_STATES = 60_000
-MOST_PIECES = 200_000
-#: Where nothing else runs in the worker, three times that, kept from task to task.
-ALONE = 3
+#: Limits of the caches in a Python worker. They bound memory, not results: some 70 MB, which end with the task.
+MOST_STATES = 40_000
+MOST_PIECES = 150_000
+#: Where nothing else runs in the worker, four times that, kept from task to task.
+ALONE = 4
 LONGEST_KEPT = 64
 #: A full cache starts afresh after so many misses for each of its entries.
 PATIENCE = 20
