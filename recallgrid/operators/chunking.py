@@ -90,12 +90,18 @@ def sessions(lines: DataFrame, header: str, key: str = "file", least: int = 10)
     return found.withColumn("several", several).where((F.col("several") >= 2) & (F.col("n_lines") >= least)).drop("several")
 
 
+def _often(words: Column, most: int = 5) -> Column:
+    """The words that occur twice or more, the commonest first, of equal ones the one that stands first."""
+    size = F.size(words)
+    counts = F.transform(F.array_distinct(words), lambda w: F.struct((F.size(F.array_remove(words, w)) - size).alias("n"), F.array_position(words, w).alias("at"), w.alias("word")))
+    return F.transform(F.slice(F.sort_array(F.filter(counts, lambda c: c["n"] <= -2)), 1, most), lambda c: c["word"])
+
+
 def closet_lines(text: Column, drawer_ids: Column, fallback: Column) -> Column:
     """An array of lines topic|entities|->drawers: what was done, headers, quotes; one line of the fallback without any."""
     window = F.substring(F.coalesce(text, F.lit("")), 1, CLOSET_WINDOW)
     words = F.regexp_extract_all(window, F.lit(r"\b[A-Z][a-z]{2,}\b"), F.lit(0))
-    counts = F.transform(F.array_distinct(words), lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), F.array_position(words, w).alias("at"), w.alias("word")))
-    often = F.transform(F.slice(F.sort_array(F.filter(counts, lambda c: c["n"] <= -2)), 1, 5), lambda c: c["word"])
+    often = F.element_at(F.transform(F.array(words), lambda found: _often(found)), 1)  # the words are found once, and bound to the function's argument
     tail = F.concat(F.lit("|"), F.array_join(often, ";"), F.lit("|→"), F.array_join(F.slice(drawer_ids, 1, 3), ","))
     done = F.regexp_extract_all(window, F.lit(r"(?i)(?:built|fixed|wrote|added|pushed|tested|created|decided|migrated|reviewed|deployed|configured|removed|updated)\s+[\w\s]{3,40}"), F.lit(0))
     heads = F.regexp_extract_all(window, F.lit(r"(?m)^#{1,3}\s+(.{5,60})$"), F.lit(1))

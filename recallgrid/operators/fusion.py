@@ -41,14 +41,19 @@ def composite(hits: DataFrame, boosts: DataFrame, weight: float = 1.0, id_col: s
 
 
 def bm25(drawers: DataFrame, terms: Sequence[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """drawer_id, score of the drawers that have a term. One pass counts the terms in each row; no row for each token."""
-    own = text.tokens(F.col("document"))
+    """drawer_id, score of the drawers that have a term. Texts are cut into tokens once; no row for each token.
+
+    The counts, a row of numbers for each drawer, are checkpointed: totals and scores are both made of them.
+    """
+    from recallgrid.operators.graph import _cut
+
+    cut = drawers.select("drawer_id", F.explode(F.array(text.tokens(F.col("document")))).alias("own"))  # explode keeps the tokens from being made for each use
 
     def times(term: str) -> Column:
-        return F.size(F.filter(own, lambda t: t == term))
+        return F.size(F.filter("own", lambda t: t == term))
 
     counts = [times(x).alias(f"f{i}") for i, x in enumerate(terms)]
-    rows = drawers.select("drawer_id", F.size(own).alias("len"), *counts)
+    rows = _cut(cut.select("drawer_id", F.size("own").alias("len"), *counts))
     n_terms = range(len(terms))
     total = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in n_terms])
     joined = rows.where(" OR ".join(f"f{i} > 0" for i in n_terms)).join(F.broadcast(total))  # one row of totals

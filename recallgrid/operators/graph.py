@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +13,8 @@ from recallgrid.functions.text import entity_id
 
 #: PageRank's fixed values.
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 30, 1e-6
-#: Edge rows (some 20 MB) up to which a graph is walked in the driver's memory.
-MOST_LOCAL = 200_000
+#: Rounds after which the scores are cut off from their lineage and their change is read.
+ROUNDS = 5
 
 
 def room_nodes(drawers: DataFrame, hall: str | None = "hall", day: str | None = "filed_day") -> DataFrame:
@@ -107,16 +108,14 @@ def adjacency(triples: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, seeds: Sequence[str], damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
     """node, score of a walk that returns to the seeds; seeds outside the graph are dropped, and none gives no rows.
 
-    Scores exist for reached nodes only. A graph of up to MOST_LOCAL rows of edges is walked in the driver's memory;
-    a larger one by joins: every few rounds the scores are checkpointed, lineage ends, and the L1 change is read.
+    Scores exist for reached nodes only. Every ROUNDS rounds, and after the last, the scores are checkpointed, lineage ends,
+    and the L1 change of that round is read: below the tolerance the walk stops.
     """
     spark = edges.sparkSession
     edges = _cut(edges)
-    rows = edges.limit(MOST_LOCAL + 1).collect() if edges.limit(MOST_LOCAL + 1).count() <= MOST_LOCAL else None
-    if rows is not None:
-        return spark.createDataFrame(_walk_locally(rows, seeds, damping, iterations, tolerance), "node string, score double")
     out = edges.groupBy("a").agg(F.sum("weight").alias("total"))
-    steps = edges.join(out, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("p")).persist()
+    steps = edges.join(out, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("p"))
+    steps = _cut(steps)
     valid = [r["a"] for r in out.where(F.col("a").isin(*seeds)).select("a").collect()] if seeds else []
     schema = "node string, score double"
     if not valid:
@@ -126,7 +125,7 @@ def pagerank(edges: DataFrame, seeds: Sequence[str], damping: float = DAMPING, i
     for i in range(iterations):
         moved = scores.join(steps, scores["node"] == steps["a"]).select(F.col("b").alias("node"), (damping * F.col("score") * F.col("p")).alias("score"))
         after = moved.union(start.select("node", (F.col("score") * (1 - damping)).alias("score"))).groupBy("node").agg(F.sum("score").alias("score"))
-        if i % 5 == 4 or i == iterations - 1:
+        if i % ROUNDS == ROUNDS - 1 or i == iterations - 1:
             after = _cut(after)
             change = after.select("node", F.col("score").alias("now")).join(scores, "node", "full").agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("score", F.lit(0.0))))).first()[0]
             scores = after
@@ -137,32 +136,14 @@ def pagerank(edges: DataFrame, seeds: Sequence[str], damping: float = DAMPING, i
     return scores
 
 
-def _walk_locally(rows: list, seeds: Sequence[str], damping: float, iterations: int, tolerance: float) -> list[tuple[str, float]]:
-    nodes = {n: i for i, n in enumerate(sorted({r["a"] for r in rows}))}
-    valid = sorted({nodes[s] for s in seeds if s in nodes})
-    if not valid:
-        return []
-    a, b = (np.array([nodes[r[c]] for r in rows]) for c in "ab")
-    weight = np.array([r["weight"] for r in rows], float)
-    share = weight / np.bincount(a, weight, len(nodes))[a]
-    start = np.zeros(len(nodes))
-    start[valid] = 1 / len(valid)
-    scores = start
-    for _ in range(iterations):
-        after = damping * np.bincount(b, scores[a] * share, len(nodes)) + (1 - damping) * start
-        change, scores = np.abs(after - scores).sum(), after
-        if change < tolerance:
-            break
-    return [(n, float(scores[i])) for n, i in nodes.items() if scores[i] > 0]
-
-
 def _cut(df: DataFrame) -> DataFrame:
-    """df behind a checkpoint in the shared folder; a local one where the session names none."""
-    import tempfile
-
+    """df behind a checkpoint in the folder that the session names; a new local one where all runs on this machine."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="recallgrid-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="recallgrid-"))
     return df.checkpoint()
 
 

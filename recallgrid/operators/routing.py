@@ -40,8 +40,12 @@ def preference_phrases(text: Column, patterns: Sequence[str] = PREFERENCES, most
 
 
 def preference_documents(turns: DataFrame, **options) -> DataFrame:
-    """conv_id and a made-up document that states a conversation's preferences, to be searched beside it under the same id."""
-    phrases = preference_phrases(F.array_join(F.collect_list("text"), "\n"), **options)
+    """conv_id and a made-up document that states a conversation's preferences, to be searched beside it under the same id.
+
+    Turns are read in their order, so that which phrases come first doesn't depend on the shuffle.
+    """
+    said = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"])
+    phrases = preference_phrases(F.array_join(said, "\n"), **options)
     found = turns.where("role = 'user'").groupBy("conv_id").agg(phrases.alias("p"))
     return found.where(F.size("p") > 0).select("conv_id", F.concat(F.lit("User has mentioned: "), F.array_join("p", "; ")).alias("document"))
 

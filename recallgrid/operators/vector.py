@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from recallgrid.functions import vectors as V
 
-#: Queries of a batch that go to the workers at once.
-QUERY_BLOCK = 4096
+#: Queries of a batch that go to the workers at once, and rows that are compared with them at once.
+QUERY_BLOCK, ROWS = 4096, 512
 
 
 def knn(vectors: DataFrame, query: Sequence[float], n: int, candidates: DataFrame | None = None, id_col: str = "vec_id") -> DataFrame:
@@ -38,10 +38,8 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, n: int, id_col: str = "vec
         q = q / np.where(length == 0, 1, length)
 
         def nearest(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            best_s, best_i = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            best_s, best_i = np.empty((len(q), 0)), np.empty((len(q), 0), ids.dtype)
+            for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
                 own = batch.column(0).to_numpy()
                 v = batch.column(1).flatten().to_numpy().reshape(len(own), -1)
                 size = np.linalg.norm(v, axis=1)

@@ -205,14 +205,13 @@ def rooms_per_wing(spark, sf):
 
 
 
-@query("traverse_bfs", """WITH RECURSIVE places AS (SELECT DISTINCT 'u' || (user_id % 60) AS room, event_type || '_' || (event_id % 37) AS wing FROM events WHERE event_id % 11 = 0),
-    sizes AS (SELECT 'u' || (user_id % 60) AS room, count(*) AS count FROM events WHERE event_id % 11 = 0 GROUP BY 1),
+@query("traverse_bfs", """WITH RECURSIVE places AS (SELECT DISTINCT 'u' || user_id AS room, event_type || '_' || strftime(ts, '%Y-%m-%d') AS wing FROM events),
+    sizes AS (SELECT 'u' || user_id AS room, count(*) AS count FROM events GROUP BY 1),
     steps AS (SELECT DISTINCT a.room AS x, b.room AS y FROM places a JOIN places b USING (wing) WHERE a.room <> b.room),
     walk AS (SELECT 'u1' AS room, 0 AS hop UNION SELECT y, hop + 1 FROM walk JOIN steps ON x = room WHERE hop < 2)
     SELECT room, min(hop) AS hop, any_value(count) AS count FROM walk JOIN sizes USING (room) GROUP BY room ORDER BY hop, count DESC, room LIMIT 50""")
 def traverse_bfs(spark, sf):
-    e = activity(spark, sf).where("event_id % 11 = 0")
-    rooms = e.select(F.concat(F.lit("u"), (F.col("session") % 60).cast("string")).alias("room"), F.concat(F.col("kind"), F.lit("_"), (F.col("event_id") % 37).cast("string")).alias("wing"))
+    rooms = activity(spark, sf).select(F.concat(F.lit("u"), F.col("session").cast("string")).alias("room"), F.concat_ws("_", "kind", F.date_format("ts", "yyyy-MM-dd")).alias("wing"))
     return graph.walk(graph.room_nodes(rooms), "u1", 2)
 
 

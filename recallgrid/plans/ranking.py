@@ -200,12 +200,12 @@ def max_distance(spark, sf):
 
 @query("neighbor_expand", """WITH n AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents)
     SELECT a.source AS source_file, a.i AS drawer_index, md5(string_agg(b.text, chr(10) || chr(10) ORDER BY b.i)) AS digest, (SELECT count(*) FROM documents d WHERE d.source = a.source) AS total_drawers
-    FROM n a JOIN n b ON a.source = b.source AND b.i BETWEEN a.i - 1 AND a.i + 1 WHERE a.doc_id % 40 = 2 GROUP BY a.source, a.i""")
+    FROM n a JOIN n b ON a.source = b.source AND b.i BETWEEN a.i - 1 AND a.i + 1 GROUP BY a.source, a.i""")
 def neighbor_expand(spark, sf):
     from pyspark.sql import Window
 
     numbered = table(spark, sf, "documents").select(F.col("source").alias("source_file"), "doc_id", F.col("text").alias("document"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("chunk_index"))
-    found = fusion.neighbours(numbered.where("doc_id % 40 = 2"), numbered)
+    found = fusion.neighbours(numbered, numbered)
     return found.select("source_file", "drawer_index", F.md5("text").alias("digest"), "total_drawers")
 
 
@@ -274,17 +274,17 @@ def rank_completion(spark, sf):
     return metrics.complete(corpus.where("vec_id < 5").select("vec_id", (F.col("vec_id") + 1).alias("rank")), corpus, "vec_id").select("vec_id", "rank")
 
 
-@query("regressions", """WITH b AS (SELECT event_type AS metric, avg(value) AS value FROM events WHERE event_id % 2 = 0 GROUP BY 1), a AS (SELECT event_type AS metric, avg(value) * CASE event_type WHEN 'click' THEN 0.5 ELSE 1 END AS value FROM events WHERE event_id % 2 = 0 GROUP BY 1)
+@query("regressions", """WITH b AS (SELECT event_type AS metric, avg(value) AS value FROM events GROUP BY 1), a AS (SELECT event_type AS metric, avg(value) * CASE event_type WHEN 'click' THEN 0.5 ELSE 1 END AS value FROM events GROUP BY 1)
     SELECT metric, round(CASE WHEN b.value = 0 THEN 0 ELSE (a.value - b.value) / b.value END, 6) AS change, metric = 'click' AS regressed FROM a JOIN b USING (metric)""")
 def regressions(spark, sf):
-    base = table(spark, sf, "events").where("event_id % 2 = 0").groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
+    base = table(spark, sf, "events").groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
     before = base.withColumn("higher_is_better", F.lit(True))
     return _round(metrics.regressions(before, base.withColumn("value", F.col("value") * F.when(F.col("metric") == "click", 0.5).otherwise(1.0))), "change")
 
 
 @query("latency_percentiles", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY value)").alias("p99"))
+    return metrics.latencies(table(spark, sf, "events"), "event_type", "value")
 
 
 @query("importance_order", "SELECT event_id, coalesce(TRY_CAST(CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN value::VARCHAR END AS DOUBLE), 3.0) AS importance FROM events")

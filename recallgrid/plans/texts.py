@@ -202,10 +202,9 @@ def dialect_summary(spark, sf):
     return d.select("doc_id", dialect.header(F.col("lang"), F.col("source"), F.lit(None).cast("string"), F.lit("notes/a.md")).alias("header"), dialect.summary(F.col("text")).alias("summary"))
 
 
-@query("dialect_emotions", "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN '{c}' END" for w, c in list(dialect.EMOTIONS.items())[:6]) + "], lambda x: x IS NOT NULL), '+') AS codes FROM (SELECT conv_id * 1000 + turn AS doc_id, text || [' decided', ' worried', ' love', ' x'][turn % 4 + 1] AS text FROM conversations) WHERE NOT regexp_matches(lower(text), '" + "|".join(list(dialect.EMOTIONS)[7:]) + "') AND NOT contains(lower(text), 'love')")
+@query("dialect_emotions", "SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct([x.c for x in found]), lambda c: [list_min([x.i for x in found if x.c = c])::VARCHAR, c]))[1:3], lambda p: p[2]), '+') AS codes FROM (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN {{'i': {100 + i}, 'c': '{c}'}} END" for i, (w, c) in enumerate(dialect.EMOTIONS.items())) + "], lambda x: x IS NOT NULL) AS found FROM (SELECT conv_id * 1000 + turn AS doc_id, text || [' decided', ' worried', ' love', ' x'][turn % 4 + 1] AS text FROM conversations))")
 def dialect_emotions(spark, sf):
     rows = turns(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat("text", F.element_at(F.array(*map(F.lit, (" decided", " worried", " love", " x"))), (F.col("turn") % 4 + 1).cast("int"))).alias("text"))
-    rows = rows.where(~F.lower("text").rlike("|".join(list(dialect.EMOTIONS)[6:])))
     return rows.select("doc_id", F.array_join(dialect.emotions(F.col("text")), "+").alias("codes"))
 
 
@@ -244,13 +243,13 @@ def near_dup_greedy(spark, sf):
 
 @query("novelty_budget")
 def novelty_budget(spark, sf):
-    t = turns(spark, sf).where("turn < 10").select(F.col("conv_id").alias("query"), F.col("turn").alias("position"), F.concat_ws("_", "conv_id", "turn").alias("drawer_id"), F.col("text").alias("document"))
+    t = turns(spark, sf).select(F.col("conv_id").alias("query"), F.col("turn").alias("position"), F.concat_ws("_", "conv_id", "turn").alias("drawer_id"), F.col("text").alias("document"))
     return compression.compress_answers(t, "query", mode="aggressive", budget=400)
 
 
 @query("sentence_dedupe")
 def sentence_dedupe(spark, sf):
-    t = turns(spark, sf).where("turn < 10").select(F.col("conv_id").alias("query"), F.col("turn").alias("position"), F.concat_ws("_", "conv_id", "turn").alias("drawer_id"), F.col("text").alias("document"))
+    t = turns(spark, sf).select(F.col("conv_id").alias("query"), F.col("turn").alias("position"), F.concat_ws("_", "conv_id", "turn").alias("drawer_id"), F.col("text").alias("document"))
     return compression.compress_answers(t, "query", mode="sentences")
 
 
@@ -271,21 +270,37 @@ def token_f1(spark, sf):
     return rows.select("conv_id", "turn", F.round(metrics.token_f1(F.col("text"), F.col("next")), 6).alias("f1"))
 
 
-@query("substring_recall", "SELECT item_id, count(DISTINCT source) AS sources FROM benchmark JOIN documents ON contains(documents.text, substr(benchmark.text, 1, 60)) GROUP BY item_id")
+@query("substring_recall", "SELECT item_id, count(DISTINCT source) AS sources FROM (SELECT item_id, lower(text) AS needle FROM benchmark), (SELECT source, lower(text) AS hay FROM documents) WHERE contains(hay, needle) OR (hay <> '' AND contains(needle, hay)) GROUP BY item_id")
 def substring_recall(spark, sf):
-    """Items whose first 60 characters stand in documents.
+    """Items and documents of which one holds the other, whole and in lower case; an empty document holds and is held by none but empty items.
 
-    Items and documents meet on the longest run of letters that the needle has whole, between other characters. An
-    item without such a run is looked for in every document.
+    They meet on the longest run of letters that the shorter one has whole, between other characters: the longer one has it
+    whole too. What has no such run is compared with all of the other table; only such items (or the whole benchmark, if
+    documents have none) are broadcast, after their size has been read.
     """
-    items = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 60).alias("needle"))
-    runs = F.transform(F.regexp_extract_all("needle", F.lit(r"(?<=[^A-Za-z])[A-Za-z]{5,}(?=[^A-Za-z])"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("word")))
-    keyed = items.withColumn("word", F.array_max(runs)["word"])
-    d = table(spark, sf, "documents").select("source", "text")
-    words = d.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{5,}"), F.lit(0)))))
-    met = keyed.join(words, "word").where(F.contains("text", "needle")).select("item_id", "source")
-    rest = d.join(F.broadcast(keyed.where("word IS NULL")), F.contains("text", "needle")).select("item_id", "source")
-    return met.union(rest).groupBy("item_id").agg(F.countDistinct("source").alias("sources"))
+    items = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("needle"))
+    d = table(spark, sf, "documents").select("source", F.lower("text").alias("hay"))
+
+    def inner(text):
+        runs = F.regexp_extract_all(text, F.lit(r"(?<=[^A-Za-z])[A-Za-z]{5,}(?=[^A-Za-z])"), F.lit(0))
+        return F.array_max(F.transform(runs, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+
+    def words(df, text):
+        return df.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z]{5,}"), F.lit(0)))))
+
+    keyed, known = items.withColumn("word", inner(F.col("needle"))), d.withColumn("word", inner(F.col("hay")))
+    inside, held = F.contains("hay", "needle"), (F.col("hay") != "") & F.contains("needle", "hay")
+    met = keyed.join(words(d, "hay"), "word").where(inside).select("item_id", "source")
+    met = met.union(words(items, "needle").join(known.where("hay <> ''"), "word").where(held).select("item_id", "source"))
+    met = met.union(d.join(_small(keyed.where("word IS NULL")), inside).select("item_id", "source"))
+    met = met.union(known.where("word IS NULL AND hay <> ''").join(_small(items), held).select("item_id", "source"))
+    return met.groupBy("item_id").agg(F.countDistinct("source").alias("sources"))
+
+
+def _small(df, most=64 << 20):
+    """df, broadcast where its texts have `most` bytes at most."""
+    size = df.agg(F.sum(F.octet_length("needle"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 @query("speaker_sessions", "SELECT conv_id, string_agg(role || ' said, \"' || text || '\"', chr(10) ORDER BY turn) AS session FROM conversations GROUP BY conv_id")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SAVE_EVERY, REBUILD_AFTER = 15, 20
+#: Containers that hold records of the engine itself.
+SENTINELS = ("hall_registry", "_registry", "diary")
 
 
 def save_points(turns: DataFrame, every: int = SAVE_EVERY) -> DataFrame:
@@ -25,27 +27,44 @@ def save_points_stream(turns: DataFrame, every: int = SAVE_EVERY) -> DataFrame:
     def count(key, frames, state):
         n = state.get[0] if state.exists else 0
         rows = []
-        for frame in frames:
-            for turn in frame.sort_values("turn")["turn"]:
-                n += 1
-                if n % every == 0:
-                    rows.append((key[0], turn, n // every))
+        for turn in sorted(t for frame in frames for t in frame["turn"]):  # a key's rows may come in several frames
+            n += 1
+            if n % every == 0:
+                rows.append((key[0], turn, n // every))
         state.update((n,))
         yield pd.DataFrame(rows, columns=["conv_id", "turn", "batch"])
 
     return turns.where("role = 'user'").groupBy("conv_id").applyInPandasWithState(count, "conv_id long, turn long, batch long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def dirty_containers(changes: DataFrame, after: int = REBUILD_AFTER) -> DataFrame:
-    """container, changes: those with `after` changes or more, to be rebuilt."""
-    return changes.groupBy("container").agg(F.count("*").alias("changes")).where(F.col("changes") >= after)
+def dirty_containers(changes: DataFrame) -> DataFrame:
+    """container, changes: containers that something has changed in; registries and diaries are never among them."""
+    return changes.where(~F.col("container").isin(*SENTINELS)).groupBy("container").agg(F.count("*").alias("changes"))
 
 
-def rebuild_dirty(changes: DataFrame, rebuild: Callable[[DataFrame], None], checkpoint: str, after: int = REBUILD_AFTER, **trigger):
-    """A stream that hands each micro-batch's dirty containers to rebuild(); nothing else is computed again."""
+def due(dirty: DataFrame, after: int = REBUILD_AFTER) -> DataFrame:
+    """All of dirty if it has `after` containers or more, else none."""
+    enough = dirty.agg((F.count("*") >= after).alias("enough"))
+    return dirty.join(F.broadcast(enough)).where("enough").drop("enough")  # one row
 
-    def batch(rows: DataFrame, _: int) -> None:
-        rebuild(dirty_containers(rows, after).select("container"))
+
+def rebuild_dirty(changes: DataFrame, rebuild: Callable[[DataFrame], None], marks: str, checkpoint: str, after: int = REBUILD_AFTER, **trigger):
+    """A stream that hands the dirty containers to rebuild() as soon as there are `after` of them; nothing else is computed again.
+
+    Marks outlive their micro-batch: batch n writes those that are open to a table of its own below `marks`, from that of
+    batch n - 1, so that a batch that runs again after a failure starts from the same marks.
+    """
+
+    def batch(rows: DataFrame, n: int) -> None:
+        dirty = dirty_containers(rows)
+        if n:
+            dirty = dirty.union(rows.sparkSession.read.schema("container string, changes long").parquet(f"{marks}/batch={n - 1}"))
+        dirty = dirty.groupBy("container").agg(F.sum("changes").alias("changes")).persist()
+        enough = dirty.count() >= after
+        if enough:
+            rebuild(dirty.select("container"))
+        (dirty.limit(0) if enough else dirty).write.mode("overwrite").parquet(f"{marks}/batch={n}")
+        dirty.unpersist()
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -16,10 +16,10 @@ from recallgrid.streaming import incremental
 @pytest.fixture(scope="module")
 def drawers(spark):
     rows = [
-        ("d_aaa", "The authentication module uses JWT tokens in HttpOnly cookies", "project", "backend", "auth.py", 0, 20454),
-        ("d_bbb", "Alembic migrations for PostgreSQL 15 behind pgbouncer", "project", "backend", "db.py", 0, 20455),
-        ("d_ccc", "React with TanStack Query and a fetch wrapper", "project", "frontend", "App.tsx", 0, 20456),
-        ("d_ddd", "Sprint planning: passkeys by Q3, vector search", "notes", "planning", "sprint.md", 0, 20457),
+        ("kiln", "Celadon glaze wants cone ten and a slow cooling kiln", "workshop", "pottery", "glazes.txt", 0, 19010),
+        ("lathe", "Oil the lathe spindle before turning walnut bowls", "workshop", "wood", "lathe.txt", 0, 19012),
+        ("frost", "Rhubarb crowns survive frost under a straw mulch", "outdoors", "beds", "rhubarb.txt", 3, 19015),
+        ("ferry", "The island ferry skips Sundays, walnut cake on board", "outdoors", "trips", "ferry.txt", 1, 19019),
     ]
     return spark.createDataFrame(rows, "drawer_id string, document string, wing string, room string, source_file string, chunk_index int, filed_day int")
 
@@ -31,9 +31,9 @@ def ids(df, col="drawer_id"):
 @pytest.mark.parametrize(
     ("words", "mode", "limits", "want"),
     [
-        (["jwt"], "all", {}, ["d_aaa"]), (["jwt", "tokens"], "all", {}, ["d_aaa"]), (["alembic", "tanstack"], "any", {}, ["d_bbb", "d_ccc"]), (["alembic", "tanstack"], "all", {}, []),
-        (["auth"], "prefix", {}, ["d_aaa"]), (["jwt", " "], "all", {}, []), (["jwt", ""], "any", {}, ["d_aaa"]), ([""], "any", {}, []), (["unknownword"], "all", {}, []), (["jwt tokens"], "all", {}, []), (["the"], "all", {}, []),
-        ([], "all", {"since": 20456}, ["d_ccc", "d_ddd"]), ([], "all", {"until": 20455}, ["d_aaa", "d_bbb"]), (["alembic"], "all", {"wing": "project"}, ["d_bbb"]), ([], "all", {"wing": "none"}, []), ([], "all", {"as_of": 20454}, ["d_aaa"]),
+        (["walnut"], "all", {}, ["ferry", "lathe"]), (["WALNUT", "Spindle"], "all", {}, ["lathe"]), (["mulch", "celadon"], "any", {}, ["frost", "kiln"]), (["mulch", "celadon"], "all", {}, []), (["rhu"], "prefix", {}, ["frost"]), (["rhu"], "any", {}, []),
+        (["kiln", "\t"], "all", {}, []), (["kiln", ""], "any", {}, ["kiln"]), ([""], "prefix", {}, []), (["slow cooling"], "any", {}, []), (["before"], "all", {}, ["lathe"]), (["under", "the"], "all", {}, []),
+        ([], "all", {"since": 19015}, ["ferry", "frost"]), ([], "all", {"until": 19012}, ["kiln", "lathe"]), (["walnut"], "all", {"wing": "outdoors"}, ["ferry"]), (["walnut"], "all", {"wing": "attic"}, []), (["walnut"], "any", {"as_of": 19012}, ["lathe"]),
     ],
 )
 def test_keywords(drawers, words, mode, limits, want):
@@ -45,9 +45,9 @@ def test_keywords(drawers, words, mode, limits, want):
 def test_stored_index(drawers, tmp_path, spark):
     keyword.write_index(drawers, str(tmp_path / "index"), 2)
     index = spark.read.parquet(str(tmp_path / "index"))
-    assert ids(keyword.lookup(index, ["alembic"])) == ["d_bbb"]
+    assert ids(keyword.lookup(index, ["walnut"])) == ["ferry", "lathe"]
     assert keyword.stats(index).first()["drawers"] == 4
-    assert ids(keyword.lookup(keyword.remove(index, drawers.where("room = 'backend'")), ["alembic"])) == []
+    assert ids(keyword.lookup(keyword.remove(index, drawers.where("room = 'wood'")), ["walnut"])) == ["ferry"]
 
 
 def test_filters_reach_the_scan(spark, sf):
@@ -59,23 +59,21 @@ def test_filters_reach_the_scan(spark, sf):
 
 def test_search_by_time_alone_and_by_models(spark, drawers):
     newest = search.hybrid_search(drawers, {}, None, n=2).hits.collect()
-    assert [r.drawer_id for r in newest] == ["d_ddd", "d_ccc"] and newest[0].similarity is None
-    v = spark.createDataFrame([("d_aaa", [1.0, 0.0]), ("d_bbb", [0.9, 0.1]), ("d_ccc", [0.0, 1.0]), ("d_ddd", [0.0, 0.0])], "drawer_id string, v array<double>")
-    one = search.hybrid_search(drawers, {"a": v}, {"a": [1.0, 0.0]}, n=3).hits.collect()
-    assert [r.drawer_id for r in one][:2] == ["d_aaa", "d_bbb"]
-    gated = search.hybrid_search(drawers, {"a": v}, {"a": [1.0, 0.0]}, ["react"]).hits.collect()
-    assert [r.drawer_id for r in gated] == ["d_ccc"]
-    both = search.hybrid_search(drawers, {"a": v, "b": v}, {"a": [1.0, 0.0], "b": [0.0, 1.0]}, n=4)
-    assert {r.drawer_id for r in both.hits.collect()} == {"d_aaa", "d_bbb", "d_ccc", "d_ddd"} and both.fan_out == ["a", "b"]
-    graphed = search.hybrid_search(drawers, {"a": v}, {"a": [1.0, 0.0]}, graph_candidates=drawers.where("drawer_id = 'd_ccc'")).hits
-    assert ids(graphed) == ["d_ccc"]
+    assert [r.drawer_id for r in newest] == ["ferry", "frost"] and newest[0].similarity is None
+    v = spark.createDataFrame([("kiln", [1.0, 0.0]), ("lathe", [0.9, 0.1]), ("frost", [0.0, 1.0]), ("ferry", [0.0, 0.0])], "drawer_id string, v array<double>")
+    asked = {"a": [1.0, 0.0]}
+    assert [r.drawer_id for r in search.hybrid_search(drawers, {"a": v}, asked, n=3).hits.collect()][:2] == ["kiln", "lathe"]
+    assert ids(search.hybrid_search(drawers, {"a": v}, asked, ["mulch"]).hits) == ["frost"]
+    both = search.hybrid_search(drawers, {"a": v, "b": v}, asked | {"b": [0.0, 1.0]}, n=4)
+    assert ids(both.hits) == ["ferry", "frost", "kiln", "lathe"] and both.fan_out == ["a", "b"]
+    assert ids(search.hybrid_search(drawers, {"a": v}, asked, graph_candidates=drawers.where("room = 'trips'")).hits) == ["ferry"]
 
     def broken(hits):
         raise RuntimeError("no model")
 
-    assert search.hybrid_search(drawers, {"a": v}, {"a": [1.0, 0.0]}, rerank=broken).reranked is False
-    again = search.hybrid_search(drawers, {"a": v}, {"a": [1.0, 0.0]}, rerank=search.lexical_rerank(["react"]))
-    assert again.reranked and again.hits.first().drawer_id == "d_ccc"
+    assert search.hybrid_search(drawers, {"a": v}, asked, rerank=broken).reranked is False
+    again = search.hybrid_search(drawers, {"a": v}, asked, rerank=search.lexical_rerank(["mulch"]))
+    assert again.reranked and again.hits.first().drawer_id == "frost"
 
 
 def test_knn_batch_is_exact(spark):
@@ -179,17 +177,24 @@ def test_claims_against_facts(spark):
     assert knowledge.stale(said, known, "2024-01-01").first().ended == "2020-01-01"
 
 
-def test_pagerank_stays_in_its_component(spark, monkeypatch):
+def test_pagerank_stays_in_its_component(spark):
     rows = [("alice", "works_at", "acme"), ("alice", "uses", "postgres"), ("postgres", "runs_on", "linux"), ("acme", "uses", "postgres"), ("bob", "loves", "jazz"), ("bob", "plays", "saxophone"), ("x", "is", "x")]
     edges = graph.adjacency(spark.createDataFrame([(a, p, b, None, None, None) for a, p, b in rows], TRIPLES))
     scores = {r.node: r.score for r in graph.pagerank(edges, ["alice", "nobody"]).collect()}
     assert set(scores) == {"alice", "acme", "postgres", "linux"} and sum(scores.values()) == pytest.approx(1)
     assert graph.pagerank(edges, ["nobody"]).count() == 0 and graph.pagerank(edges, []).count() == 0
-    monkeypatch.setattr(graph, "MOST_LOCAL", 0)
-    joined = {r.node: r.score for r in graph.pagerank(edges, ["alice", "nobody"], iterations=7, tolerance=0).collect()}
-    monkeypatch.undo()
-    local = {r.node: r.score for r in graph.pagerank(edges, ["alice", "nobody"], iterations=7, tolerance=0).collect()}
-    assert joined == pytest.approx(local)
+    got = {r.node: r.score for r in graph.pagerank(edges, ["alice", "nobody"], iterations=7, tolerance=0).collect()}
+    out = {}
+    for r in edges.collect():
+        out.setdefault(r.a, []).append((r.b, r.weight))
+    want = {"alice": 1.0}
+    for _ in range(7):
+        after = {"alice": 0.15}
+        for a, score in want.items():
+            for b, w in out[a]:
+                after[b] = after.get(b, 0) + 0.85 * score * w / sum(x for _, x in out[a])
+        want = after
+    assert got == pytest.approx(want)
 
 
 def test_rooms_and_tunnels(spark):
@@ -235,6 +240,14 @@ def test_alike_drawers(spark):
     assert clusters == root
 
 
+def test_a_long_chain_is_one_cluster(spark):
+    """Each drawer is alike only to its neighbours: labels have far to go."""
+    n = 400
+    rows = [(f"d{i:04d}", " ".join(f"t{k}x" for k in range(i, i + 12))) for i in range(n)]
+    sets = compression.token_sets(spark.createDataFrame(rows, "drawer_id string, document string"))
+    assert {r.cluster for r in compression.clusters(sets).collect()} == {"d0000"}
+
+
 def test_answers_are_compressed():
     hits = pd.DataFrame({"position": [0, 1, 2, 3], "document": ["The cat sat quietly. A dog barked loudly", "Cat sat quietly! Birds flew south early", "A dog barked loudly", ""]})
     got = compression.compress(hits, "sentences")
@@ -292,6 +305,12 @@ def test_simple_facts(spark):
     assert got == {("Alice", "works_at", "Acme Corp"): 0.75, ("Bob Smith", "is_a", "doctor"): 0.7, ("Max", "loves", "chess"): 0.75, ("Alice", "prefers", "Ruby"): 0.6}
 
 
+def test_facts_trust_hinted_subjects_only(spark):
+    df = spark.createDataFrame([(1, "Nora loves Quartz. Quartz loves rain. NORA loves quartz.")], "id long, document string")
+    got = {(r.subject, r.object): r.confidence for r in extraction.facts(df, "id", hints=("Quartz",)).collect()}
+    assert got == {("NORA", "quartz"): 0.6, ("Quartz", "rain"): 0.75}
+
+
 def test_people_and_projects(spark):
     lines = ["Alice said yes", "she told Alice", "hey Alice, thanks Alice", "Alice: hello", "we deployed Falcon", "Falcon.py and Falcon-core", "Word Word Word"]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "key long, n int, line string")
@@ -334,7 +353,7 @@ def test_storage(spark):
 
 def test_export_and_audit(spark, drawers, tmp_path):
     storage.export_markdown(drawers, str(tmp_path / "md"))
-    assert "authentication" in "".join(r.value for r in spark.read.text(str(tmp_path / "md/wing=project/room=backend")).collect())
+    assert "walnut bowls" in "".join(r.value for r in spark.read.text(str(tmp_path / "md/wing=workshop/room=wood")).collect())
     entries = spark.createDataFrame([("t", "add", {"content": "abc", "wing": "w"})], "timestamp string, operation string, params map<string,string>")
     storage.audit(entries, str(tmp_path / "wal"))
     assert json.loads(spark.read.text(str(tmp_path / "wal")).first()[0])["params"] == {"content": "[redacted 3 chars]", "wing": "w"}
@@ -423,10 +442,21 @@ def test_streams_match_their_batch_twins(spark, sf, tmp_path):
     q.awaitTermination()
     assert spark.table("hours").agg(F.sum("events")).first()[0] == events.count()
 
-    done = []
-    q = incremental.rebuild_dirty(live.select(F.col("kind").alias("container")), lambda rows: done.extend(r[0] for r in rows.collect()), str(tmp_path / "c1"))
-    q.awaitTermination()
-    assert set(done) == {r.container for r in incremental.dirty_containers(events.select(F.col("kind").alias("container"))).collect()}
+
+def test_dirty_marks_outlive_their_batch(spark, tmp_path):
+    """19 containers in one batch and one in the next make 20: all are rebuilt then, and the marks start anew."""
+    folder, done = str(tmp_path / "in"), []
+    frame = lambda names: spark.createDataFrame([(n,) for n in names], "container string")
+    first = [f"room {i:02d}" for i in range(19)]
+    for names in (first + first, ["room 00", "diary", "_registry"], ["room 19"], ["room 00"]):
+        frame(names).coalesce(1).write.mode("append").parquet(folder)
+        live = spark.readStream.schema("container string").parquet(folder)
+        incremental.rebuild_dirty(live, lambda rows: done.append(sorted(r[0] for r in rows.collect())), str(tmp_path / "marks"), str(tmp_path / "at")).awaitTermination()
+        if names != ["room 00"] and "room 19" not in names:
+            assert done == []
+    assert done == [sorted([*first, "room 19"])]
+    assert incremental.due(incremental.dirty_containers(frame(first))).count() == 0
+    assert incremental.due(incremental.dirty_containers(frame([*first, "x"]))).count() == 20
 
 
 def test_ingest_sees_a_file_once(spark, tmp_path):
