@@ -71,6 +71,57 @@ def exchanges(turns: DataFrame, least: int = LEAST_EXCHANGE, size: int = SIZE) -
     return parts.where(F.char_length(F.trim("content")) > least)
 
 
+#: What opens a speaker's turn.
+TURN = r"^(?:>\s|(?i:(?:Human|User|Q|Assistant|AI|A|Claude|ChatGPT)\s*:))"
+TURNS_OF_A_TALK, GIANT = 3, 20
+
+
+def segments(docs: DataFrame, key: str, text_col: str = "document") -> DataFrame:
+    """key, segment, content to look for memories in: turns where three lines or more open one, else paragraphs.
+
+    One paragraph of over 20 lines is cut into groups of 25 lines. Turns keep their lines as they are; paragraphs and
+    groups are stripped, and empty ones left out. A null text has no segments.
+    """
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    rows = docs.select(key, F.explode(F.array(lines)).alias("lines"))
+    opens = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.trim(F.element_at("lines", i)).rlike(TURN))
+    rows = rows.select(key, "lines", F.explode(F.array(opens)).alias("opens"))
+    starts = F.array_distinct(F.concat(F.array(F.lit(1)), "opens"))
+    ends = F.concat(F.slice(starts, 2, F.size("lines")), F.array(F.size("lines") + 1))
+    turns = F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice("lines", a, b - a), "\n"))
+    own = F.filter(F.transform(F.split(F.array_join("lines", "\n"), "\n\n"), _stripped), lambda p: p != "")
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / LINES_OF_A_GROUP).cast("int")), lambda g: _stripped(F.array_join(F.slice("lines", g * LINES_OF_A_GROUP + 1, LINES_OF_A_GROUP), "\n")))
+    plain = F.when((F.size(own) <= 1) & (F.size("lines") > GIANT), F.filter(groups, lambda p: p != "")).otherwise(own)
+    return rows.select(key, F.posexplode(F.when(F.size("opens") >= TURNS_OF_A_TALK, turns).otherwise(plain)).alias("segment", "content"))
+
+
+#: A session's time as its transcript shows it, and prompts that are commands.
+SESSION_TIME = r"⏺\s+(\d{1,2}:\d{2}\s+[AP]M)\s+\w+,\s+(\w+)\s+(\d{1,2}),\s+(\d{4})"
+COMMANDS = r"^(?:\./|cd |ls |python|bash|git |cat |source |export |claude|./activate)"
+MONTHS = "January February March April May June July August September October November December".split()
+
+
+def session_heads(files: DataFrame, people: list[str], users: dict[str, str] | None = None, key: str = "file") -> DataFrame:
+    """key, stamp, day, people, subject of files (key, lines: array<string>).
+
+    The first time in 50 lines; known people named in 100 lines, or whose home folder is; the first prompt ('> ') of over
+    five characters that is no command, as a file name of 60 characters at most, else 'session'.
+    """
+    lines = F.coalesce(F.col("lines"), F.array().cast("array<string>"))
+    timed = F.try_element_at(F.filter(F.slice(lines, 1, 50), lambda x: x.rlike(SESSION_TIME)), F.lit(1))
+    hour, month, day, year = (F.regexp_extract(timed, SESSION_TIME, i) for i in (1, 2, 3, 4))
+    number = F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), month).cast("string"), 2, "0")
+    iso = F.concat_ws("-", year, number, F.lpad(day, 2, "0"))
+    head = F.array_join(F.slice(lines, 1, 100), "\n")
+    named = [F.when(head.rlike(rf"(?i)\b{p}\b"), p) for p in people]
+    user = F.regexp_extract(head, r"/Users/(\w+)/", 1)
+    named += [F.when(user == u, p) for u, p in (users or {}).items()]
+    found = F.sort_array(F.array_distinct(F.array_compact(F.array(*named)))) if named else F.array().cast("array<string>")
+    prompts = F.filter(F.transform(F.filter(lines, lambda x: x.startswith("> ")), lambda x: F.trim(F.substring(x, 3, 1 << 20))), lambda p: (F.char_length(p) > 5) & ~p.rlike(COMMANDS))
+    subject = F.substring(F.regexp_replace(F.trim(F.regexp_replace(F.try_element_at(prompts, F.lit(1)), r"[^\w\s-]", "")), r"\s+", "-"), 1, 60)
+    return files.select(key, F.when(timed.isNotNull(), F.concat(iso, F.lit("_"), F.regexp_replace(hour, "[: ]", ""))).alias("stamp"), F.when(timed.isNotNull(), iso).alias("day"), found.alias("people"), F.coalesce(subject, F.lit("session")).alias("subject"))
+
+
 def is_exchange(text: Column) -> Column:
     """Three quoted lines or more."""
     return F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x).startswith(">"))) >= 3

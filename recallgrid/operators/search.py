@@ -68,6 +68,24 @@ def hybrid_search(
     return Answer(hits, limits, list(query), done)
 
 
+def memories(answer: Answer) -> DataFrame:
+    """An answer's hits in the shape that callers get: text, wing, room, source_file, similarity, in order."""
+    return answer.hits.select(F.col("document").alias("text"), "wing", "room", "source_file", "similarity")
+
+
+def report(answer: Answer, question: str) -> str:
+    """An answer (its top n only) as text for a terminal."""
+    rows = memories(answer).collect()
+    if not rows:
+        return f'No results found for: "{question}"'
+    asked = [f"{k}: {v}" for k, v in answer.filters.items() if v is not None]
+    lines = [f'Results for: "{question}"', *asked]
+    for i, r in enumerate(rows, 1):
+        close = "" if r.similarity is None else f"  ({r.similarity:.3f})"
+        lines += ["", f"[{i}] {r.wing} / {r.room}{close}", f"    {r.source_file}", *(f"    {x}" for x in (r.text or "").split("\n"))]
+    return "\n".join(lines)
+
+
 def lexical_rerank(terms: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
     """A reranker for want of a model: the share of the terms in the text, then the score."""
     return lambda hits: hits.withColumn("rerank_score", fusion.overlap(F.col("document"), terms)).orderBy(F.desc("rerank_score"), F.desc("score"), "drawer_id")

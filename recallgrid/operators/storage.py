@@ -56,6 +56,27 @@ def unseen(files: DataFrame, stored: DataFrame, tolerance: float = 0.0, version:
     return files.join(known, (F.col("path") == F.col("__path")) & same, "left_anti")
 
 
+def registered(files: DataFrame, stored: DataFrame, agent: str, wing: str) -> DataFrame:
+    """A registry row for each of files (path) of which nothing is stored (source_file), so that it isn't read anew every time."""
+    empty = files.select(F.col("path").alias("source_file")).distinct().join(stored.select("source_file"), "source_file", "left_anti")
+    digest = F.substring(F.sha2(F.col("source_file").cast("binary"), 256), 1, 24)
+    return empty.select(
+        F.concat(F.lit("_reg_"), digest).alias("drawer_id"), F.concat(F.lit("[registry] "), "source_file").alias("document"), F.lit(wing).alias("wing"), F.lit("_registry").alias("room"), F.lit("hall_registry").alias("hall"),
+        "source_file", F.lit(agent).alias("added_by"), F.lit("registry").alias("ingest_mode"), F.lit(VERSION).alias("version"),
+    )
+
+
+def with_halls(drawers: DataFrame) -> DataFrame:
+    """drawers with hall filled in from the text where it is null or empty; others stay."""
+    given = F.nullif(F.col("hall"), F.lit("")) if "hall" in drawers.columns else F.lit(None).cast("string")
+    return drawers.withColumn("hall", F.coalesce(given, text.first_topic(F.col("document"))))
+
+
+def from_sources(drawers: DataFrame, part: str) -> DataFrame:
+    """Drawers whose source file's name has the part in it."""
+    return drawers.where(F.col("source_file").contains(part))
+
+
 def without_sentinels(drawers: DataFrame) -> DataFrame:
     return drawers.where(~F.col("room").isin(*SENTINELS))
 

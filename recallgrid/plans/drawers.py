@@ -232,3 +232,22 @@ def source_duplicates(spark, sf):
     from recallgrid.operators.compression import duplicate_estimate
 
     return duplicate_estimate(drawers(spark, sf)).orderBy(F.desc("drawers"), "source_file").limit(15)
+
+
+@query("update_drawers", "WITH [[DRAWERS]] SELECT drawer_id, CASE WHEN chunk_index % 7 = 0 THEN 'moved' ELSE room END AS room FROM drawers")
+def update_drawers(spark, sf):
+    d = drawers(spark, sf)
+    return storage.update(d.select("drawer_id", "room"), d.where("chunk_index % 7 = 0").select("drawer_id", F.lit("moved").alias("room")))
+
+
+@query("delete_drawers", "WITH [[DRAWERS]] SELECT drawer_id FROM drawers WHERE chunk_index % 7 <> 0")
+def delete_drawers(spark, sf):
+    d = drawers(spark, sf)
+    return storage.delete(d, d.where("chunk_index % 7 = 0")).select("drawer_id")
+
+
+@query("search_memories", "WITH [[DRAWERS]], [[POSTINGS]] SELECT document AS text, wing, room, source_file, NULL::DOUBLE AS similarity FROM drawers WHERE wing = 'en' AND drawer_id IN (SELECT drawer_id FROM postings WHERE token = 'thing') ORDER BY filed_day DESC, drawer_id LIMIT 5")
+def search_memories(spark, sf):
+    from recallgrid.operators import search
+
+    return search.memories(search.hybrid_search(drawers(spark, sf), {}, None, ["thing"], n=5, wing="en"))

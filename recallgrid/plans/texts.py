@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recallgrid.functions import dates, text
-from recallgrid.operators import chunking, compression, dialect, extraction, metrics, storage
+from recallgrid.operators import chunking, compression, dialect, extraction, metrics, models, registry, routing, storage
 from recallgrid.plans.drawers import HALL_SQL
 from recallgrid.plans.registry import query
 from recallgrid.sources.tables import drawers, table, turns, vectors
@@ -313,3 +313,51 @@ def speaker_sessions(spark, sf):
 @query("sentinel_filter", "WITH [[DRAWERS]] SELECT count(*) AS n FROM drawers WHERE room NOT IN ('hall_registry', '_registry', 'diary')")
 def sentinel_filter(spark, sf):
     return storage.without_sentinels(drawers(spark, sf)).agg(F.count("*").alias("n"))
+
+
+@query("segments", r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS own FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(own) <= 1 AND len(lines) > 20 THEN list_filter(list_transform(range(0, (len(lines) - 1) // 25 + 1), lambda i: regexp_replace(array_to_string(lines[i * 25 + 1:i * 25 + 25], chr(10)), '^\s+|\s+$', '', 'g')), lambda x: x <> '') ELSE own END AS parts FROM l)
+    SELECT doc_id, unnest(parts) AS content, (generate_subscripts(parts, 1) - 1)::INT AS segment FROM s""")
+def segments(spark, sf):
+    return chunking.segments(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query("halls_hydrated", f"WITH [[DRAWERS]] SELECT drawer_id, CASE WHEN chunk_index % 3 = 0 THEN 'hall_given' ELSE {HALL_SQL} END AS hall FROM drawers")
+def halls_hydrated(spark, sf):
+    d = drawers(spark, sf).withColumn("hall", F.when(F.col("chunk_index") % 3 == 0, "hall_given").when(F.col("chunk_index") % 3 == 1, ""))
+    return storage.with_halls(d).select("drawer_id", "hall")
+
+
+@query("source_filter", "WITH [[DRAWERS]] SELECT drawer_id FROM drawers WHERE contains(source_file, 'c1')")
+def source_filter(spark, sf):
+    return storage.from_sources(drawers(spark, sf), "c1").select("drawer_id")
+
+
+@query("registered_files", "SELECT '_reg_' || substr(sha256('file ' || doc_id), 1, 24) AS drawer_id, '[registry] file ' || doc_id AS document, '_registry' AS room FROM documents WHERE doc_id % 4 <> 0")
+def registered_files(spark, sf):
+    files = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("file "), F.col("doc_id").cast("string")).alias("path"))
+    stored = files.where("doc_id % 4 = 0").select(F.col("path").alias("source_file"))
+    return storage.registered(files, stored, "miner", "notes").select("drawer_id", "document", "room")
+
+
+@query("entity_registry", """WITH p AS (SELECT n_name AS name, r_name AS context FROM nation JOIN region ON n_regionkey = r_regionkey), a AS (SELECT 'N' || substr(name, 8) AS alias, name FROM p WHERE name LIKE '%1%')
+    SELECT name, name AS canonical, coalesce((SELECT alias FROM a WHERE a.name = p.name), '') AS aliases, context FROM p UNION ALL SELECT alias, a.name, a.name, context FROM a JOIN p ON a.name = p.name""")
+def entity_registry(spark, sf):
+    p = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.lit("place").alias("relationship"), F.col("r_name").alias("context"))
+    a = p.where("name LIKE '%1%'").select(F.concat(F.lit("N"), F.expr("substr(name, 8)")).alias("alias"), "name")
+    return registry.entities(p, a).select("name", "canonical", F.array_join("aliases", ",").alias("aliases"), F.array_join("contexts", ",").alias("context"))
+
+
+@query("model_facts", """SELECT conv_id, turn, 'Speaker ' || role AS subject, 'said_in' AS predicate, 'talk ' || conv_id AS object, CASE turn % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.6 ELSE 0.25 END::DOUBLE AS confidence FROM conversations WHERE turn % 4 <> 3""")
+def model_facts(spark, sf):
+    fact = F.to_json(F.struct(F.concat(F.lit(" Speaker "), "role").alias("subject"), F.lit("Said in").alias("predicate"), F.concat(F.lit("talk "), F.col("conv_id").cast("string")).alias("object"), F.when(F.col("turn") % 3 == 0, "7").when(F.col("turn") % 3 == 1, "sure").otherwise("0.25").alias("confidence")))
+    kind = F.col("turn") % 4
+    raw = F.when(kind == 0, F.concat(F.lit("```json\n["), fact, F.lit("]\n```"))).when(kind == 1, F.concat(F.lit("Here you are: ["), fact, F.lit(', {"subject": "", "predicate": "x"}] as asked'))).when(kind == 2, fact).otherwise("no facts")
+    found = models.parse_facts(turns(spark, sf).select(F.struct("conv_id", "turn").alias("at"), raw.alias("raw")), "at")
+    return found.select("at.conv_id", "at.turn", "subject", "predicate", "object", "confidence")
+
+
+@query("preference_documents", "WITH u AS (SELECT conv_id, turn, 'I prefer thing ' || (turn % 5) || 'x to others. ' || text AS text FROM conversations WHERE role = 'user'), p AS (SELECT conv_id, 'thing ' || (turn % 5) || 'x to others' AS phrase, min(turn) AS first FROM u GROUP BY ALL) SELECT conv_id, 'User has mentioned: ' || string_agg(phrase, '; ' ORDER BY first) AS document FROM p GROUP BY conv_id")
+def preference_documents(spark, sf):
+    t = turns(spark, sf).withColumn("text", F.concat(F.lit("I prefer thing "), (F.col("turn") % 5).cast("string"), F.lit("x to others. "), "text"))
+    return routing.preference_documents(t)

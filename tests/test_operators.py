@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallgrid.functions import dates, text
-from recallgrid.operators import chunking, compression, dialect, extraction, fusion, graph, keyword, knowledge, metrics, search, storage, vector
+from recallgrid.operators import chunking, compression, dialect, extraction, fusion, graph, keyword, knowledge, metrics, models, registry, search, storage, vector
 from recallgrid.sources import chats, files
 from recallgrid.streaming import incremental
 
@@ -476,3 +476,61 @@ def test_text_functions(spark):
     ).first()
     assert row.tokens == ["quick_fox", "fox-trot", "lives"] and row.none == [] and row.one == 1 and row.s == ["a", "b", "c"]
     assert row.two == ["a b", "b c"] and row.few == ["a"] and row.j == 0.5 and row.topic == "architecture"
+
+
+def test_segments_by_speaker(spark):
+    talk = "intro\n> hi\nyo\nHuman: a\n  assistant : b\nrest"
+    rows = spark.createDataFrame([(1, talk), (2, " one \n\n\n two"), (3, "\n".join(f"l{i}" for i in range(30))), (4, None), (5, "> a\n> b")], "id long, document string")
+    got = {}
+    for r in chunking.segments(rows, "id").orderBy("id", "segment").collect():
+        got.setdefault(r.id, []).append(r.content)
+    assert got == {1: ["intro", "> hi\nyo", "Human: a", "  assistant : b\nrest"], 2: ["one", "two"], 3: ["\n".join(f"l{i}" for i in range(25)), "\n".join(f"l{i}" for i in range(25, 30))], 5: ["> a\n> b"]}
+
+
+def test_session_heads(spark):
+    rows = [("a", ["x", "⏺ 9:05 AM Monday, March 7, 2024", "/Users/kay/work", "> git push", "> hey", "> Plan: the new (shed) roof", "noRA said"]), ("b", []), ("c", None)]
+    got = {r.file: r for r in chunking.session_heads(spark.createDataFrame(rows, "file string, lines array<string>"), ["Nora", "Otto"], {"kay": "Kay", "lee": "Lee"}).collect()}
+    assert (got["a"].stamp, got["a"].day, got["a"].people, got["a"].subject) == ("2024-03-07_905AM", "2024-03-07", ["Kay", "Nora"], "Plan-the-new-shed-roof")
+    assert all((got[k].stamp, got[k].people, got[k].subject) == (None, [], "session") for k in "bc")
+
+
+def test_models_are_call_backs(spark):
+    texts = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "boom"), (4, " "), (5, None)], "id long, document string").repartition(5, "id")
+
+    def model(said):
+        if "boom" in said:
+            raise RuntimeError("no answer")
+        return ['```json\n[{"subject": "Nora", "predicate": "Lives In", "object": "Oslo", "confidence": 3, "valid_from": null},]\n```'.replace(",]", "]") if s == "good" else "none" for s in said]
+
+    answers = models.ask(texts, "id", "document", model)
+    facts = models.parse_facts(answers, "id")
+    assert [tuple(r) for r in facts.collect()] == [(1, "Nora", "lives_in", "Oslo", 0.9, None)]
+    assert tuple(models.extraction_stats(answers, facts, "id").first()) == (3, 1, 1, 1)
+    vectors = models.embed(texts, "id", "document", lambda said: [[len(s), 1] for s in said])
+    assert {r.id: r.v for r in vectors.collect()} == {1: [4.0, 1.0], 2: [3.0, 1.0], 3: [4.0, 1.0], 4: [1.0, 1.0], 5: [0.0, 1.0]}
+
+
+def test_learned_compression_is_a_call_back():
+    hits = pd.DataFrame({"position": [0, 1], "document": ["Quiet cats sleep all day long", "Loud dogs bark"]})
+    got = compression.compress(hits, "learned", lambda text, budget: f"{text.split()[1]} {budget}", budget=10)
+    assert got["document"].tolist() == ["cats 5", "dogs 5"] and got["output_tokens"].tolist() == [2, 2]
+    assert compression.compress(hits, "learned")["document"].tolist() == hits["document"].tolist()
+    with pytest.raises(ValueError):
+        compression.compress(hits, "unheard of")
+
+
+def test_known_names(spark):
+    people = spark.createDataFrame([("Rose ", "aunt", "personal"), ("Rose", "boss", "work"), ("Maxwell", None, None), ("", "x", "y"), (None, "x", "y")], "name string, relationship string, context string")
+    known = registry.entities(people, spark.createDataFrame([("Max", "Maxwell"), ("Nobody", "None")], "alias string, name string"))
+    got = {r.name: (r.canonical, r.aliases, r.contexts, r.relationship, r.ambiguous) for r in known.collect()}
+    assert got == {"Rose": ("Rose", [], ["personal", "work"], "aunt", True), "Maxwell": ("Maxwell", ["Max"], ["personal"], "", False), "Max": ("Maxwell", ["Maxwell"], ["personal"], "", True)}
+    mentions = spark.createDataFrame([("MAX",), ("rose",), ("who",)], "name string")
+    assert {r.name: r.canonical for r in registry.resolve(mentions, known).collect()} == {"MAX": "Maxwell", "rose": "Rose", "who": None}
+    assert {r.name for r in registry.protected_names(known).collect()} == {"rose", "max", "maxwell"}
+
+
+def test_reports(spark, drawers):
+    found = search.hybrid_search(drawers, {}, None, ["walnut"], n=5)
+    assert search.memories(found).columns == ["text", "wing", "room", "source_file", "similarity"]
+    assert "[1] outdoors / trips" in search.report(found, "walnut?") and "ferry.txt" in search.report(found, "walnut?")
+    assert search.report(search.hybrid_search(drawers, {}, None, ["absent"], n=5), "q") == 'No results found for: "q"'
