@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallgrid.llm.common import write_shared
+from recallgrid.llm.common import unused_name, write_shared
 
 #: Letters, digits and whatever is not ASCII; lower-casing A-Z does not move a word's borders.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -169,6 +169,7 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
     """docs without its contaminated rows (see contamination()), all columns kept; null ids are compared as values."""
-    bad = contamination(docs, items, id_col, text_col, **rules).where("contaminated").select(F.col(f"`{id_col}`").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    own, digest = unused_name(docs, "id"), unused_name(docs, "digest")
+    bad = contamination(docs, items, id_col, text_col, **rules).where("contaminated").select(F.col(f"`{id_col}`").alias(own), F.col("digest").alias(digest)).distinct()
     bad = _small(write_shared(bad, "contaminated"))
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__digest")), "left_anti")
+    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(digest)), "left_anti")

@@ -645,3 +645,12 @@ def test_line_index_tells_lines_that_it_lacks(spark):
     out = linededup.drop_repeated(new, linededup.line_index(built, 8), 8)
     assert out.columns == ["doc_id", "text", "__block", "n_lines", "n_dropped"]
     assert {tuple(r) for r in out.collect()} == {(4, line.format(1), 1, 1, 0), (7, line.format(3) + "\n" + line.format(99), 2, 3, 1), (None, "", 3, 1, 0)}
+
+
+def test_clashing_names_are_no_trouble(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"__id": F.lit("a"), "__digest": F.lit(1), "__keep": F.lit(2), "__block": F.lit(3)})
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    clean = phraseindex.decontaminate(docs, items)
+    assert clean.columns == docs.columns and 0 < clean.count() < docs.count()
+    assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one_similar(docs).columns == docs.columns
+    assert linededup.dedup_lines(docs).columns == [*docs.columns, "n_lines", "n_dropped"]
