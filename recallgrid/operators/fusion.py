@@ -86,6 +86,17 @@ def phrase_boost(distance: Column, document: Column, phrases: Sequence[str], wei
     return distance * (1 - F.lit(weight) * text.hits(low, [p.lower() for p in phrases]) / len(phrases))
 
 
+def dialog_distance(distance: Column, document: Column, terms: Sequence[str], names: Sequence[str] = (), phrases: Sequence[str] = (), weights: Sequence[float] = (0.5, 0.6, 0.2)) -> Column:
+    """The distance of a question within one dialog: nearer by its terms other than people's names, then quoted phrases, then names.
+
+    All turns of a dialog name its people, so that their names among the terms would tell nothing apart.
+    """
+    people = {n.lower() for n in names}
+    told = [t for t in terms if t.lower() not in people]
+    fused = overlap_fused(distance, overlap(document, told), weights[0]) if told else distance
+    return phrase_boost(phrase_boost(fused, document, phrases, weights[1]), document, names, weights[2])
+
+
 def hybrid(hits: DataFrame, lexical: DataFrame, weight: float = 0.6, id_col: str = "drawer_id") -> DataFrame:
     """Vector similarity as it is (1 - distance, not below 0) and BM25 over its maximum, weighted."""
     top = lexical.agg(F.max("score").alias("top"))

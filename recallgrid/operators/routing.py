@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallgrid.operators import fusion, vector
+from recallgrid.functions import text as T, vectors as V
+from recallgrid.operators import fusion, metrics, vector
 
 #: What introduces a preference, on lower-case text, and the phrase behind it up to a stop.
 PREFERENCES = (
@@ -56,8 +57,13 @@ def nearest_by_session(hits: DataFrame, by: str = "conv_id", distance: str = "di
 
 
 def best_rooms(summaries: DataFrame, terms: Sequence[str], n: int, room: str = "room", text: str = "summary") -> DataFrame:
-    """The n rooms whose summaries share most of the terms; all rooms if none shares any."""
-    scored = summaries.groupBy(room).agg(F.array_join(F.sort_array(F.collect_list(text)), " ").alias("all")).select(room, fusion.overlap(F.col("all"), terms).alias("share"))
+    """The n rooms whose summaries, taken together, share most of the terms; all rooms if none shares any.
+
+    A room gathers one flag for each term, whatever the number of its summaries.
+    """
+    own = summaries.select(room, F.explode(F.array(T.tokens(F.col(text)))).alias("own"))  # explode keeps the tokens from being made for each term
+    shared = sum((F.max(F.array_contains("own", t).cast("int")) for t in terms), F.lit(0))
+    scored = own.groupBy(room).agg((F.coalesce(shared, F.lit(0)) / F.lit(float(len(terms) or 1))).alias("share"))
     top = scored.orderBy(F.desc("share"), room).limit(n)
     some = top.agg((F.max("share") > 0).alias("some"))
     kept = top.withColumn("kept", F.lit(True))
@@ -73,6 +79,55 @@ def two_stage(vectors: DataFrame, documents: DataFrame, summaries: DataFrame, qu
     return near.join(documents, id_col).withColumn("distance", fused).orderBy("distance", id_col).limit(k)
 
 
+#: What a question says that refers back to an answer.
+ANSWER_CUES = (
+    "you suggested", "you told me", "you mentioned", "you said", "you recommended", "remind me what you", "you provided", "you listed", "you gave me", "you described", "what did you",
+)
+#: Hall navigation: the factors of a distance in the first hall, in another that is asked for, and among the first hall's nearest.
+FIRST_HALL, OTHER_HALL, FOUND_IN_HALL, HALL_POOL = 0.75, 0.9, 0.85, 10
+
+
+def about_answers(question: str, cues: Sequence[str] = ANSWER_CUES) -> bool:
+    """Whether a question asks about what the assistant said before."""
+    low = question.lower()
+    return any(c in low for c in cues)
+
+
+def two_pass(asked: DataFrame, whole: DataFrame, query: Sequence[float], corpus: DataFrame, pool: int = 5, id_col: str = "vec_id", whole_query: Sequence[float] | None = None) -> DataFrame:
+    """corpus (id_col, position) with rank, for a question about answers (whole_query: its vector for whole texts, if that is another one).
+
+    The `pool` sessions whose user turns (asked: id_col, v) are nearest come first, in the order of their whole texts (whole: id_col, v);
+    the others follow in corpus order.
+    """
+    first = vector.knn(asked, query, pool, id_col=id_col)
+    again = vector.knn(whole, query if whole_query is None else whole_query, pool, first, id_col)
+    order = Window.orderBy(F.desc("similarity"), id_col)  # `pool` rows at most
+    return metrics.complete(again.select(id_col, F.row_number().over(order).alias("rank")), corpus, id_col)
+
+
+def hall_navigation(vectors: DataFrame, query: Sequence[float], halls: Sequence[str], general: str = "hall_general", pool: int = HALL_POOL, id_col: str = "vec_id") -> DataFrame:
+    """id_col, distance of vectors (id_col, hall, v), smaller in the halls that a question asks for (the likeliest first).
+
+    The first hall's nearest `pool` are smaller still. Halls only move hits, none is hidden; `general` as the first hall asks for nothing.
+    """
+    first = halls[0] if halls and halls[0] != general else None
+    distance = 1 - V.cosine(F.col("v"), V.literal(query))
+    inside = F.col("hall") == first if first else F.lit(False)
+    factor = F.when(inside, FIRST_HALL).when(F.col("hall").isin(*halls), OTHER_HALL).otherwise(1.0)
+    scored = vectors.select(id_col, (distance * factor).alias("distance"))
+    if first is None:
+        return scored
+    found = vector.knn(vectors.where(inside), query, pool, id_col=id_col).select(id_col, F.lit(True).alias("found"))
+    joined = scored.join(F.broadcast(found), id_col, "left")  # `pool` rows at most
+    return joined.select(id_col, F.when(F.col("found"), F.col("distance") * FOUND_IN_HALL).otherwise(F.col("distance")).alias("distance"))
+
+
+def with_layer(hits: DataFrame, layer: DataFrame, by: str, factor: float = 0.8) -> DataFrame:
+    """by, distance: sessions by the nearest of their own documents and of a layer's (a diary, say), which count as nearer by `factor`."""
+    both = hits.select(by, "distance").union(layer.select(by, (F.col("distance") * factor).alias("distance")))
+    return nearest_by_session(both, by)
+
+
 def promote(ranking: DataFrame, pick, id_col: str, pool: int = 10) -> DataFrame:
     """ranking (id, rank from 1) with one pick of the first `pool` moved to the front; another pick changes nothing."""
     chosen = (F.col(id_col) == pick) & (F.col("rank") <= pool)
@@ -84,8 +139,9 @@ def promote(ranking: DataFrame, pick, id_col: str, pool: int = 10) -> DataFrame:
 def entity_metadata(text: Column, most: int = 25) -> Column:
     """Capitalised words that stand in the text twice or more, by name, the first `most` of them joined by ';'."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b[A-Z][a-z]{2,}\b"), F.lit(0))
-    often = F.filter(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda x: x == w)) >= 2)
-    return F.array_join(F.slice(F.sort_array(often), 1, most), ";")
+    # In sorted words a word that stands there twice is its own successor.
+    pairs = F.element_at(F.transform(F.array(F.sort_array(words)), lambda w: F.zip_with(w, F.slice(w, 2, F.size(w) + 1), lambda a, b: F.when(a == b, a))), 1)
+    return F.array_join(F.slice(F.array_distinct(F.array_compact(pairs)), 1, most), ";")
 
 
 _NO_SPELLING = r"\d|[A-Z]|[-_@#]|https?:|www\.|[^\x00-\x7F]|[`*<>{}|/\\]"

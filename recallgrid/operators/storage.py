@@ -105,6 +105,13 @@ def export_markdown(drawers: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("wing", "room").text(path)
 
 
+def export_index(drawers: DataFrame) -> DataFrame:
+    """wing, room, drawers, line: the table of contents of such a folder, a Markdown row with a link for each room."""
+    found = drawers.groupBy("wing", "room").agg(F.count("*").alias("drawers"))
+    link = F.concat(F.lit("["), "room", F.lit("](wing="), text.safe_name(F.col("wing")), F.lit("/room="), text.safe_name(F.col("room")), F.lit(")"))
+    return found.withColumn("line", F.concat(F.lit("| "), "wing", F.lit(" | "), link, F.lit(" | "), F.col("drawers").cast("string"), F.lit(" |")))
+
+
 def audit(entries: DataFrame, path: str, hide: tuple[str, ...] = ("content", "document", "text")) -> None:
     """Appends (timestamp, operation, params) as JSON lines, the named parameters' values hidden."""
     shown = F.map_from_entries(F.transform(F.map_entries("params"), lambda e: F.struct(e["key"], F.when(e["key"].isin(*hide), F.concat(F.lit("[redacted "), F.char_length(e["value"]).cast("string"), F.lit(" chars]"))).otherwise(e["value"]))))

@@ -55,7 +55,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _load() -> None:
-    from recallgrid.plans import drawers, knowledge, ranking, texts  # noqa: F401  they register their queries
+    from recallgrid.plans import drawers, knowledge, modes, ranking, texts  # noqa: F401  they register their queries
 
 
 _load()

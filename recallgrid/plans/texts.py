@@ -121,11 +121,6 @@ def heuristic_triples(spark, sf):
     return extraction.facts(_said(spark, sf), "conv_id", "content", ("Alice",))
 
 
-@query("entity_candidates", r"SELECT name, count(*) AS frequency FROM (SELECT unnest(regexp_extract_all(text, '\b[A-Z][a-z]+\b')) AS name FROM documents WHERE lang = 'en') WHERE length(name) > 1 GROUP BY name HAVING count(*) >= 3")
-def entity_candidates(spark, sf):
-    return extraction.entity_candidates(table(spark, sf, "documents").where("lang = 'en'"), "text")
-
-
 @query("entity_detect")
 def entity_detect(spark, sf):
     lines = _said(spark, sf).select(F.col("conv_id").alias("key"), F.posexplode(F.split("content", "\n")).alias("n", "line"))

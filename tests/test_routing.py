@@ -35,3 +35,32 @@ def test_spelling_has_guards(spark):
     row = spark.createDataFrame([(text,), (None,)], "t string").select(routing.corrected_transcript(F.col("t"), fix, ["nobody"]).alias("c")).collect()
     assert row[0].c == "> hello this, Helo x9helo coherently teh\nhelo there" and row[1].c is None
     assert spark.range(1).select(routing.entity_metadata(F.lit("Max met Alice. Alice met Max. Bob"))).first()[0] == "Alice;Max"
+
+
+def test_questions_about_answers(spark):
+    assert routing.about_answers("Remind me what YOU SAID about tea") and not routing.about_answers("What tea do I like?")
+    asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "vec_id int, v array<double>")
+    whole = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "vec_id int, v array<double>")
+    corpus = asked.select("vec_id", (10 - F.col("vec_id")).alias("position"))
+    order = [r.vec_id for r in routing.two_pass(asked, whole, [1.0, 0.0], corpus, pool=3).orderBy("rank").collect()]
+    assert order == [2, 1, 0, 4, 3]  # the three nearest by user turns, nearest by whole text first; the others by position
+    assert [r.vec_id for r in routing.two_pass(asked.limit(0), whole, [1.0, 0.0], corpus).orderBy("rank").collect()] == [4, 3, 2, 1, 0]
+
+
+def test_halls_move_hits_and_hide_none(spark):
+    rows = [("a", "x", [1.0, 1.0]), ("b", "x", [0.0, 1.0]), ("c", "y", [0.0, 1.0]), ("d", None, [0.0, 1.0]), ("e", "z", [0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id string, hall string, v array<double>")
+    found = lambda halls: {r.vec_id: round(r.distance, 6) for r in routing.hall_navigation(v, [1.0, 0.0], halls, pool=1).collect()}
+    assert found(["x", "y"]) == {"a": round((1 - 0.5**0.5) * 0.75 * 0.85, 6), "b": 0.75, "c": 0.9, "d": 1.0, "e": 1.0}
+    assert found(["hall_general", "y"])["c"] == 0.9 and found([])["c"] == 1.0
+
+
+def test_layers_and_dialogs(spark):
+    hits = spark.createDataFrame([("s", 0.5), ("s", 0.7), ("t", 0.4)], "conv_id string, distance double")
+    diary = spark.createDataFrame([("s", 0.6), ("u", 0.5)], "conv_id string, distance double")
+    assert {r.conv_id: round(r.distance, 6) for r in routing.with_layer(hits, diary, "conv_id").collect()} == {"s": 0.48, "t": 0.4, "u": 0.4}
+    from recallgrid.operators import fusion
+
+    row = spark.createDataFrame([("Ann said: the kiln is hot",)], "t string")
+    near = lambda *a: round(row.select(fusion.dialog_distance(F.lit(1.0), F.col("t"), *a)).first()[0], 6)
+    assert near(["ann", "kiln"], ["Ann"]) == 0.4 and near(["ann", "lathe"], ["Ann"]) == 0.8 and near(["ann"], ["Ann"], ["is hot"]) == 0.32
