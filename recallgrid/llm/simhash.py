@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from recallgrid.llm.common import freeing, texts_of, unused_name, words_of, write_shared
 
 MOST_RANGES = 1 << 16
+#: Classes whose labels are broadcast because of their many rows are fewer than this.
+MOST_FREQUENT = 1000
 RANGE_SIZE = 2048
 #: For similar texts: fingerprints of a text, codes in a range, and the share of similar pairs that one index's upper
 #: nodes let through, and the last comparison.
@@ -240,6 +242,21 @@ def star_components(edges: DataFrame, name: str = "stars") -> DataFrame:
         pairs = write_shared(small.distinct(), name)
 
 
+def labelled(rows: DataFrame, labels: DataFrame, key: str, most_frequent: int = MOST_FREQUENT) -> DataFrame:
+    """rows with the component_id of their class (`key`), from labels (own, n rows of that class, component_id).
+
+    A class of more than one row in most_frequent would make one long task. There are fewer than most_frequent of
+    them, so that these are broadcast and their rows stay where they are; the other classes meet by a shuffle.
+    """
+    labels = write_shared(labels, "labels")
+    total = labels.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(labels.where(F.col("n") * most_frequent > total).select("own", "component_id"))
+    seldom = labels.where(F.col("n") * most_frequent <= total).select("own", "component_id")
+    met = rows.join(often, F.col(key) == F.col("own"))
+    others = rows.join(often, F.col(key) == F.col("own"), "left_anti").join(seldom, F.col(key) == F.col("own"))
+    return met.union(others)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most_bits: int = 2, seed: int = 42) -> DataFrame:
     """For each row of df: id_col, fingerprint (16 hex digits) and component_id, the smallest id that it reaches.
 
@@ -249,13 +266,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated rows give a row each. Columns of df besides the two aren't carried over. An empty table gives none.
     """
     docs = write_shared(fingerprints(df, id_col, text_col, shingle, seed), "fingerprints")
-    codes = write_shared(docs.groupBy("fp", "rank").agg(F.min("id").alias("least")), "codes")
+    codes = write_shared(docs.groupBy("fp", "rank").agg(F.min("id").alias("least"), F.count("*").alias("n")), "codes")
     stars = star_components(links(codes, most_bits))
     linked = stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
     least = linked.join(codes, linked["node"] == codes["fp"]).groupBy("root").agg(F.min("least").alias("joint"))
     joint = linked.join(least, "root").select("node", "joint")
-    labels = codes.join(joint, codes["fp"] == joint["node"], "left").select(codes["fp"].alias("code"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("joint")).alias("component_id"))
-    return docs.join(labels, docs["fp"] == labels["code"]).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labels = codes.join(joint, codes["fp"] == joint["node"], "left").select(codes["fp"].alias("own"), "n", F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("joint")).alias("component_id"))
+    return labelled(docs, labels, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most_bits: int = 2, seed: int = 42) -> DataFrame:
@@ -426,7 +443,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     df besides the two aren't carried over. An empty table gives none.
     """
     rows = write_shared(signatures(df.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, shingle, seed), "signatures")
-    classes = write_shared(rows.groupBy("node").agg(F.min("id").alias("least"), *[F.min(r).alias(r) for r in _RANKS]), "classes")
+    classes = write_shared(rows.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"), *[F.min(r).alias(r) for r in _RANKS]), "classes")
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi  # from the cosine of two sets of equal size
     pairs = write_shared(proposals(classes, differ, range_size), "proposals")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -437,10 +454,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     open_sets = sets.join(near, "node", "left").join(classes, "node").select("node", "set", F.coalesce("root", "node").alias("comp"), *_RANKS)
     both = write_shared(rare_pairs(open_sets, similarity, allowed(64 * TABLES, differ, PASS_ALL)), "rare")
     stars = star_components(alike(both, sets, similarity).union(near.select(F.col("node").alias("a"), F.col("root").alias("b"))), "similar")
-    joint = classes.join(stars, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    joint = classes.join(stars, "node", "left").select("node", "n", "least", F.coalesce("root", "node").alias("root"))
     least = joint.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = joint.join(least, "root").select(F.col("node").alias("own"), "component_id")
-    return rows.join(labels, F.col("node") == F.col("own")).select(F.col("id").alias(id_col), "component_id")
+    labels = joint.join(least, "root").select(F.col("node").alias("own"), "n", "component_id")
+    return labelled(rows, labels, "node").select(F.col("id").alias(id_col), "component_id")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -166,6 +166,15 @@ def test_simhash(table, request):
     assert Counter(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("most_frequent", [1, 3, 1000])
+def test_frequent_classes_keep_all_rows(spark, most_frequent):
+    rows = [(i, i % 7 if i < 70 else 100) for i in range(130)] + [(None, 100), (None, 5)]  # 100 has 61 of 132 rows, the others 10 or 11
+    sizes = Counter(c for _, c in rows)
+    labels = spark.createDataFrame([(c, n, None if c == 2 else c * 10) for c, n in sizes.items()], "own long, n long, component_id long")
+    got = simhash.labelled(spark.createDataFrame(rows, "id long, fp long"), labels, "fp", most_frequent).select("id", "fp", "component_id").collect()
+    assert Counter(map(tuple, got)) == Counter((i, c, None if c == 2 else c * 10) for i, c in rows)
+
+
 def test_gray_links_are_whole(spark):
     """Random clusters and a dense one, over many ranges."""
     r = random.Random(5)
