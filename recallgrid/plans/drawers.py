@@ -111,23 +111,27 @@ def containers_distinct(spark, sf):
     return storage.containers(drawers(spark, sf).withColumn("hall", text.first_topic(F.col("document"))))
 
 
-@query("upsert_drawers", "WITH [[DRAWERS]] SELECT drawer_id, CASE WHEN chunk_index % 7 = 0 THEN 'new' ELSE wing END AS wing FROM drawers WHERE chunk_index % 2 = 0 OR chunk_index % 7 = 0")
+def _sevenths(spark, sf):
+    """All drawers once more, every seventh under its own id and the others under new ones."""
+    return drawers(spark, sf).withColumn("drawer_id", F.when(F.col("chunk_index") % 7 == 0, F.col("drawer_id")).otherwise(F.concat(F.lit("new_"), "drawer_id")))
+
+
+@query("upsert_drawers", "WITH [[DRAWERS]] SELECT drawer_id, CASE WHEN chunk_index % 7 = 0 THEN 'new' ELSE wing END AS wing FROM drawers UNION ALL SELECT 'new_' || drawer_id, 'new' FROM drawers WHERE chunk_index % 7 <> 0")
 def upsert_drawers(spark, sf):
-    d = drawers(spark, sf)
-    return storage.upsert(d.where("chunk_index % 2 = 0").select("drawer_id", "wing"), d.where("chunk_index % 7 = 0").select("drawer_id", F.lit("new").alias("wing")))
+    return storage.upsert(drawers(spark, sf).select("drawer_id", "wing"), _sevenths(spark, sf).select("drawer_id", F.lit("new").alias("wing")))
 
 
-@query("add_drawers", "WITH [[DRAWERS]] SELECT drawer_id, wing FROM drawers WHERE chunk_index % 2 = 0 UNION ALL SELECT drawer_id, 'new' FROM drawers WHERE chunk_index % 7 = 0 AND chunk_index % 2 <> 0")
+@query("add_drawers", "WITH [[DRAWERS]] SELECT drawer_id, wing FROM drawers UNION ALL SELECT 'new_' || drawer_id, 'new' FROM drawers WHERE chunk_index % 7 <> 0")
 def add_drawers(spark, sf):
-    d = drawers(spark, sf)
-    return storage.add(d.where("chunk_index % 2 = 0").select("drawer_id", "wing"), d.where("chunk_index % 7 = 0").select("drawer_id", F.lit("new").alias("wing")))
+    return storage.add(drawers(spark, sf).select("drawer_id", "wing"), _sevenths(spark, sf).select("drawer_id", F.lit("new").alias("wing")))
 
 
 @query("incremental_anti", "SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 5 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS mtime FROM documents WHERE doc_id % 5 = 0 OR doc_id % 3 = 0")
 def incremental_anti(spark, sf):
     d = table(spark, sf, "documents")
     files = d.select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 5 == 0, 2.0).otherwise(1.0).alias("mtime"))
-    return storage.unseen(files, d.where("doc_id % 3 <> 0").select(F.col("doc_id").cast("string").alias("path"), F.lit(1.0).alias("mtime")))
+    known = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("gone "), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    return storage.unseen(files, d.select(known.alias("path"), F.lit(1.0).alias("mtime")))
 
 
 @query("repair_split", "WITH [[DRAWERS]] SELECT wing, count(*) FILTER (chunk_index IN (SELECT vec_id FROM embeddings)) AS good, count(*) FILTER (chunk_index NOT IN (SELECT vec_id FROM embeddings)) AS bad FROM drawers GROUP BY wing")
@@ -242,8 +246,7 @@ def update_drawers(spark, sf):
 
 @query("delete_drawers", "WITH [[DRAWERS]] SELECT drawer_id FROM drawers WHERE chunk_index % 7 <> 0")
 def delete_drawers(spark, sf):
-    d = drawers(spark, sf)
-    return storage.delete(d, d.where("chunk_index % 7 = 0")).select("drawer_id")
+    return storage.delete(drawers(spark, sf), _sevenths(spark, sf)).select("drawer_id")
 
 
 @query("search_memories", "WITH [[DRAWERS]], [[POSTINGS]] SELECT document AS text, wing, room, source_file, NULL::DOUBLE AS similarity FROM drawers WHERE wing = 'en' AND drawer_id IN (SELECT drawer_id FROM postings WHERE token = 'thing') ORDER BY filed_day DESC, drawer_id LIMIT 5")

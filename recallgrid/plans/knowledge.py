@@ -167,5 +167,6 @@ def dirty_containers(spark, sf):
 @query("diary_news", "SELECT conv_id::VARCHAR AS path, turn AS entry FROM conversations WHERE turn >= CASE WHEN conv_id % 2 = 0 THEN 2 ELSE 0 END")
 def diary_news(spark, sf):
     rows = turns(spark, sf).select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("entry"))
-    done = rows.select("path").distinct().where("cast(path AS bigint) % 2 = 0").withColumn("entry_count", F.lit(2))
+    even = F.col("path").cast("long") % 2 == 0
+    done = rows.select(F.when(even, F.col("path")).otherwise(F.concat(F.lit("gone "), "path")).alias("path")).distinct().withColumn("entry_count", F.lit(2))
     return incremental.diary_news(rows, done)

@@ -331,7 +331,7 @@ def source_filter(spark, sf):
 @query("registered_files", "SELECT '_reg_' || substr(sha256('file ' || doc_id), 1, 24) AS drawer_id, '[registry] file ' || doc_id AS document, '_registry' AS room FROM documents WHERE doc_id % 4 <> 0")
 def registered_files(spark, sf):
     files = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("file "), F.col("doc_id").cast("string")).alias("path"))
-    stored = files.where("doc_id % 4 = 0").select(F.col("path").alias("source_file"))
+    stored = files.select(F.when(F.col("doc_id") % 4 == 0, F.col("path")).otherwise(F.concat(F.lit("gone "), "path")).alias("source_file"))
     return storage.registered(files, stored, "miner", "notes").select("drawer_id", "document", "room")
 
 
